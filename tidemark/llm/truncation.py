@@ -99,9 +99,9 @@ def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
 def contexts(exact: np.ndarray, loose: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each token from the fourth on, at each level the key of the tokens before it and of those with it.
 
-    Levels: three tokens; the last of them by its loose class; the middle one by its loose class; two tokens."""
+    Levels: three tokens; two; three, the last of them by its loose class; one."""
     a, b, c, last = exact[:-3], exact[1:-2], exact[2:-1], exact[3:]
-    before = [_mixed(1, a, b, c), _mixed(2, a, b, loose[2:-1]), _mixed(3, a, loose[1:-2], c), _mixed(4, b, c)]
+    before = [_mixed(1, a, b, c), _mixed(2, b, c), _mixed(3, a, b, loose[2:-1]), _mixed(4, c)]
     return [(p, _mixed(11 + i, p, last)) for i, p in enumerate(before)]
 
 
@@ -237,7 +237,8 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     """doc, source, mark, stop, open, lengths, limit, given, ends: each text's ending and how usual it is.
 
     limit: whether one of its lengths is significant. given: share of the ending's last token after the tokens before it
-    that also ends there; ends: share of the times it stands there that it ends. Without enough support both are 1.
+    that also ends there; ends: share of the times it stands there that it ends. Three tokens before it are looked at,
+    or two if three are too rare, or what one or three looser ones say at best. Without enough support both are 1.
     """
     spark = documents.sparkSession
     known = spark.sparkContext.broadcast(known_words(documents, text))
@@ -249,7 +250,8 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     tails = ends.select("keys").distinct().withColumn("tail", F.xxhash64("keys"))
     wanted = tails.select("tail", F.posexplode("keys").alias("slot", "key"))
     met = wanted.join(counts, "key").groupBy("tail").agg(*[F.max(F.when(F.col("slot") == s, F.struct("n", "e"))).alias(f"s{s}") for s in range(2 * LEVELS)])
-    chosen = F.coalesce(*[F.when(F.col(f"s{2 * i}.n") >= SUPPORT, F.struct((F.col(f"s{2 * i + 1}.e") / F.col(f"s{2 * i}.n")).alias("given"), (F.col(f"s{2 * i + 1}.e") / F.col(f"s{2 * i + 1}.n")).alias("ends"))) for i in range(LEVELS)])
+    rates = [F.when(F.col(f"s{2 * i}.n") >= SUPPORT, F.struct((F.col(f"s{2 * i + 1}.e") / F.col(f"s{2 * i}.n")).alias("given"), (F.col(f"s{2 * i + 1}.e") / F.col(f"s{2 * i + 1}.n")).alias("ends"))) for i in range(LEVELS)]
+    chosen = F.coalesce(*rates[:2], F.greatest(*rates[2:]))
     scored = met.select("tail", chosen.alias("c")).select("tail", "c.given", "c.ends")
 
     measured = ends.select("source", F.posexplode("lengths").alias("measure", "length"))
