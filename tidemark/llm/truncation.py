@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpointed
+
 #: A word is known if it is in this share of the documents; at most (mean words of a document) / WORD_SHARE words are.
 WORD_SHARE = 0.005
 LEAST_DOCS = 5
@@ -30,12 +32,14 @@ NEIGHBOURS = 24
 DISCOVERY = 0.01
 LEAST_AT_LENGTH = 4
 TAIL_CHARS = 600
-SLICE_CHARS = 2_000_000
+LAST_CHARS = 120
+SLICE_TOKENS = 400_000
 
-_TOKEN = re.compile(r"(\n+|[^\W\d_]+-\d+\b|\w+|[^\w\s])([^\S\n]*)")
+_STOPS = ".!?。؟।"
+#: A stop takes the blank behind it along, so that it can be told from one within a word.
+_TOKEN = re.compile(rf"\n+|[{_STOPS}](?:[^\S\n]|$)?|[^\W\d_]+-\d+\b|\w+|[^\w\s]")
 #: Fixed value: marks that a cut may leave behind.
 _MARK = re.compile(r"\s*(?:\[[^\[\]\n]{0,40}(?:truncat|clipped|cut off|gekürzt|abgeschnitten|tronqu|coup[ée]|cortad|recortad)[^\[\]\n]{0,40}\]|…|(?<!\.)\.{3}|(?<=\.)\.{3})\s*$", re.IGNORECASE)
-_STOPS = ".!?。؟।"
 _CLOSERS = re.compile(f"(?<=[{_STOPS}])[\"'»”’)\\]]+$")
 LEVELS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,47 +49,58 @@ def bare(text: str) -> tuple[str, bool]:
     """Text without blanks and a cut's mark at its end, or without quotes and brackets that close a sentence; whether it
     bore a mark."""
     text = text.rstrip()
-    cut = _MARK.search(text)
+    head, tail = text[:-LAST_CHARS], text[-LAST_CHARS:]
+    cut = _MARK.search(tail)
     if cut:
-        return text[: cut.start()].rstrip(), True
-    return _CLOSERS.sub("", text), False
+        return (head + tail[: cut.start()]).rstrip(), True
+    return head + _CLOSERS.sub("", tail), False
 
 
 def _code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-class Tokens:
-    """Token classes: a known word is itself, other words, numbers and ids are one class each, ids by their length."""
+class Tokens(dict):
+    """Token to class number: a known word is a class, other words, numbers and ids are one each, ids by their length."""
 
     def __init__(self, known: frozenset[str]):
+        super().__init__()
         self.known = known
-        self.seen: dict[str, tuple[int, int, bool, bool]] = {}
-        self.start = _code("^start")
-        self.word = _code("^word")
-
-    def of(self, token: str) -> tuple[int, int, bool, bool]:
-        """Class, class that ignores which word it is, whether it is open, whether it stops a sentence."""
-        got = self.seen.get(token)
-        if got is None:
-            if token[0] == "\n":
-                got = (c := _code("\n"), c, False, False)
-            elif token in self.known:
-                got = (_code(token), self.word, False, False)
-            elif token in _STOPS:
-                got = (c := _code("."), c, False, True)
-            elif token.isdigit():
-                got = (c := _code("^number"), c, True, False)
-            elif len(token) == 1 and not token.isalnum():
-                got = (c := _code(token), c, False, False)
-            elif "-" not in token and any(map(str.isdigit, token)):
-                got = (c := _code(f"^id{len(token)}"), c, True, False)
-            else:
-                got = (_code("^unknown"), self.word, True, False)
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            self.seen[token] = got
-        return got
+        self.numbers: dict[tuple, int] = {}
+        self.start = self._class("^start", "^start", False, False)
+        self.line = self._class("\n", "\n", False, False)
+
+    def _class(self, exact: str, loose: str, openness: bool, stop: bool) -> int:
+        return self.numbers.setdefault((exact, loose, openness, stop), len(self.numbers))
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        if token[0] == "\n":
+            number = self.line
+        elif token in self.known:
+            number = self._class(token, "^word", False, False)
+        elif token[0] in _STOPS:
+            number = self._class(".", ".", False, len(token) > 1)
+        elif token.isdigit():
+            number = self._class("^number", "^number", True, False)
+        elif len(token) == 1 and not token.isalnum():
+            number = self._class(token, token, False, False)
+        elif "-" not in token and any(map(str.isdigit, token)):
+            number = self._class(c := f"^id{len(token)}", c, True, False)
+        else:
+            number = self._class("^unknown", "^word", True, False)
+        self[token] = number
+        return number
+
+    def read(self, text: str) -> list[int]:
+        """Class numbers of a text behind three starts."""
+        return [self.start] * 3 + list(map(self.__getitem__, _TOKEN.findall(text)))
+
+    def columns(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, loose codes, openness and stops of class numbers."""
+        exact, loose, openness, stop = zip(*self.numbers, strict=True)
+        return tuple(np.array(c)[numbers] for c in (np.array(list(map(_code, exact)), np.uint64), np.array(list(map(_code, loose)), np.uint64), openness, stop))
 
 
 def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
@@ -96,103 +111,83 @@ def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(exact: np.ndarray, loose: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each token from the fourth on, at each level the key of the tokens before it and of those with it.
+def contexts(a: np.ndarray, b: np.ndarray, c: np.ndarray, loose: np.ndarray, last: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For tokens `last` behind a, b and c, at each level the key of the tokens before and of those with the last.
 
     Levels: three tokens; two; three, the last of them by its loose class; one."""
-    a, b, c, last = exact[:-3], exact[1:-2], exact[2:-1], exact[3:]
-    before = [_mixed(1, a, b, c), _mixed(2, b, c), _mixed(3, a, b, loose[2:-1]), _mixed(4, c)]
+    before = [_mixed(1, a, b, c), _mixed(2, b, c), _mixed(3, a, b, loose), _mixed(4, c)]
     return [(p, _mixed(11 + i, p, last)) for i, p in enumerate(before)]
 
 
-def _read(tokens: Tokens, text: str, exact: list[int], loose: list[int], ends: list[bool]) -> bool:
-    """Appends the text's classes behind three starts; whether the last one is open."""
-    exact += [tokens.start] * 3
-    loose += [tokens.start] * 3
-    ends += [False] * 3
-    find = _TOKEN.findall(text)
-    openness = False
-    for token, blank in find:
-        one, any_word, openness, stop = tokens.of(token)
-        if any_word == one and token[0] == "\n" and ends:
-            ends[-1] = True
-        exact.append(one)
-        loose.append(any_word)
-        ends.append(stop and blank != "")
-    if find:
-        ends[-1] = find[-1][0][0] != "\n"
-    return openness
-
-
 def _counter(known):
+    def counted(tokens: Tokens, numbers: list[int]) -> pa.RecordBatch:
+        ids = np.array([*numbers, tokens.start])
+        e, w, _, stop = tokens.columns(ids)
+        following = ids[1:]
+        done = (stop[:-1] | (following == tokens.line) | (following == tokens.start))[3:]
+        real = ids[3:-1] != tokens.start
+        keys, n, closing = [], [], []
+        for before, whole in contexts(e[:-4], e[1:-3], e[2:-2], w[2:-2], e[3:-1]):
+            k, count = np.unique(before[real], return_counts=True)
+            keys.append(k)
+            n.append(count)
+            closing.append(np.zeros(len(k), np.int64))
+            k, back, count = np.unique(whole[real], return_inverse=True, return_counts=True)
+            keys.append(k)
+            n.append(count)
+            closing.append(np.bincount(back, weights=done[real], minlength=len(k)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(closing))], names=["key", "n", "e"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(known.value)
-        exact: list[int] = []
-        loose: list[int] = []
-        ends: list[bool] = []
-
-        def counted() -> pa.RecordBatch:
-            e, w = np.array(exact, np.uint64), np.array(loose, np.uint64)
-            done = np.array(ends, bool)[3:]
-            real = e[3:] != np.uint64(tokens.start)
-            keys, n, closing = [], [], []
-            for before, whole in contexts(e, w):
-                k, c = np.unique(before[real], return_counts=True)
-                keys.append(k)
-                n.append(c)
-                closing.append(np.zeros(len(k), np.int64))
-                k, back, c = np.unique(whole[real], return_inverse=True, return_counts=True)
-                keys.append(k)
-                n.append(c)
-                closing.append(np.bincount(back, weights=done[real], minlength=len(k)).astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(closing))], names=["key", "n", "e"])
-
+        numbers: list[int] = []
         for batch in batches:
             for text in batch.column(0):
                 value = text.as_py()
                 if value and not value.isspace():
-                    _read(tokens, bare(value)[0], exact, loose, ends)
-                if len(exact) > SLICE_CHARS // 4:
-                    yield counted()
-                    exact, loose, ends = [], [], []
-        if len(exact) > 3:
-            yield counted()
+                    numbers += tokens.read(bare(value)[0])
+                if len(numbers) > SLICE_TOKENS:
+                    yield counted(tokens, numbers)
+                    numbers = []
+        if numbers:
+            yield counted(tokens, numbers)
 
     return count
 
 
+def _tail(tokens: Tokens, body: str) -> list[int]:
+    """Class numbers of the last four tokens of a text, which may be starts; texts are read from near their end."""
+    if len(body) > TAIL_CHARS:
+        found = tokens.read(body[-TAIL_CHARS:])[4:]  # the first token may be a part of one
+        if len(found) >= 4:
+            return found[-4:]
+    return tokens.read(body)[-4:]
+
+
 def _ender(known):
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(known.value)
         for batch in batches:
-            rows, keys = [], []
+            rows, tails = [], []
             for i, text in enumerate(batch.column("text")):
                 value = text.as_py()
                 if not value or value.isspace():
                     continue
                 body, mark = bare(value)
-                exact: list[int] = []
-                loose: list[int] = []
-                openness = False
-                if body:
-                    tail = body[-TAIL_CHARS:]
-                    openness = _read(tokens, tail, exact, loose, [])
-                    if len(tail) < len(body):
-                        if len(exact) < 8:
-                            exact, loose = [], []
-                            openness = _read(tokens, body, exact, loose, [])
-                        else:
-                            exact, loose = exact[4:], loose[4:]
-                last = contexts(np.array(exact[-4:], np.uint64), np.array(loose[-4:], np.uint64)) if len(exact) > 3 else [(np.zeros(1, np.uint64),) * 2] * LEVELS
-                keys.append([int(k.view(np.int64)[0]) for pair in last for k in pair])
-                rows.append((i, mark, openness, bool(body) and body[-1] in _STOPS, len(value), len(value.encode("utf-8", "surrogatepass")), len(body), len(body.encode("utf-8", "surrogatepass"))))
-            if rows:
-                at, mark, openness, stop, *lengths = zip(*rows, strict=True)
-                pick = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(pick), batch.column("source").take(pick), pa.array(mark), pa.array(openness), pa.array(stop), pa.array([list(x) for x in zip(*lengths, strict=True)], pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "source", "mark", "open", "stop", "lengths", "keys"],
-                )
+                tails.append(([tokens.start] * 4 + (_tail(tokens, body) if body else []))[-4:])
+                rows.append((i, mark, bool(body) and body[-1] in _STOPS, [len(value), len(value.encode("utf-8", "surrogatepass")), len(body), len(body.encode("utf-8", "surrogatepass"))]))
+            if not rows:
+                continue
+            at, mark, stop, lengths = zip(*rows, strict=True)
+            ids = np.array(tails)
+            e, w, openness, _ = tokens.columns(ids)
+            keys = np.stack([k for pair in contexts(e[:, 0], e[:, 1], e[:, 2], w[:, 2], e[:, 3]) for k in pair], axis=1).view(np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (2 * LEVELS)), pa.array(keys.reshape(-1)))
+            pick = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pick), batch.column("source").take(pick), pa.array(mark), pa.array(openness[:, 3]), pa.array(stop), pa.array(lengths, pa.list_(pa.int32())), flat],
+                names=["doc", "source", "mark", "open", "stop", "lengths", "keys"],
+            )
 
     return end
 
@@ -246,6 +241,7 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     counts = rows.select("text").mapInArrow(_counter(known), "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     kind = rows.schema["doc"].dataType.simpleString()
     ends = rows.mapInArrow(_ender(known), f"doc {kind}, source string, mark boolean, open boolean, stop boolean, lengths array<int>, keys array<bigint>")
+    ends = checkpointed(ends)  # some 200 bytes a text, read three times below
 
     tails = ends.select("keys").distinct().withColumn("tail", F.xxhash64("keys"))
     wanted = tails.select("tail", F.posexplode("keys").alias("slot", "key"))
