@@ -25,6 +25,10 @@ WORD_SHARE = 0.005
 LEAST_DOCS = 5
 #: Least count of a context for its rates to be used.
 SUPPORT = 10
+#: An ending is sure if it stands AMONG times or more, SHARE of the times after what is before it, and HALF of the others end.
+AMONG, SHARE, HALF = 4, 0.02, 0.5
+#: A known word is a sure ending after tokens behind which this share of all next tokens end.
+ANY_ENDS = 0.8
 #: Least rates of a complete ending, elsewhere and at significant lengths: of the ending given the tokens before, where
 #: its last token is a number, id or unknown word (OPEN) or another one (FIXED), and of ending given the whole (ENDS).
 OPEN, FIXED, ENDS = (0.05, 0.1), (0.005, 0.03), 0.2
@@ -125,17 +129,15 @@ def _counter(known):
         e, w, _, stop = tokens.columns(ids)
         following = ids[1:]
         done = (stop[:-1] | (following == tokens.line) | (following == tokens.start))[3:]
-        real = ids[3:-1] != tokens.start
+        # a text's last token is counted by its ending, once for all copies of the text
+        real = (ids[3:-1] != tokens.start) & (following[3:] != tokens.start)
         keys, n, closing = [], [], []
         for before, whole in contexts(e[:-4], e[1:-3], e[2:-2], w[2:-2], e[3:-1]):
-            k, count = np.unique(before[real], return_counts=True)
-            keys.append(k)
-            n.append(count)
-            closing.append(np.zeros(len(k), np.int64))
-            k, back, count = np.unique(whole[real], return_inverse=True, return_counts=True)
-            keys.append(k)
-            n.append(count)
-            closing.append(np.bincount(back, weights=done[real], minlength=len(k)).astype(np.int64))
+            for key in (before[real], whole[real]):
+                k, back, count = np.unique(key, return_inverse=True, return_counts=True)
+                keys.append(k)
+                n.append(count)
+                closing.append(np.bincount(back, weights=done[real], minlength=len(k)).astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(closing))], names=["key", "n", "e"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +187,8 @@ def _ender(known):
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (2 * LEVELS)), pa.array(keys.reshape(-1)))
             pick = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pick), batch.column("source").take(pick), pa.array(mark), pa.array(openness[:, 3]), pa.array(stop), pa.array(lengths, pa.list_(pa.int32())), flat],
-                names=["doc", "source", "mark", "open", "stop", "lengths", "keys"],
+                [batch.column("doc").take(pick), batch.column("digest").take(pick), batch.column("source").take(pick), pa.array(mark), pa.array(openness[:, 3]), pa.array(stop), pa.array(lengths, pa.list_(pa.int32())), flat],
+                names=["doc", "digest", "source", "mark", "open", "stop", "lengths", "keys"],
             )
 
     return end
@@ -229,7 +231,7 @@ def _source(c: Column) -> Column:
 
 
 def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """doc, source, mark, stop, open, lengths, limit, given, ends: each text's ending and how usual it is.
+    """doc, source, mark, stop, open, lengths, limit, given, ends, sure: each text's ending and how usual it is.
 
     limit: whether one of its lengths is significant. given: share of the ending's last token after the tokens before it
     that also ends there; ends: share of the times it stands there that it ends. Three tokens before it are looked at,
@@ -237,25 +239,29 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     """
     spark = documents.sparkSession
     known = spark.sparkContext.broadcast(known_words(documents, text))
-    rows = documents.select(F.col(doc_id).alias("doc"), _source(F.col(source)).alias("source"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    counts = rows.select("text").mapInArrow(_counter(known), "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    rows = documents.select(F.col(doc_id).alias("doc"), _source(F.col(source)).alias("source"), F.col(text).alias("text"), F.xxhash64(text).alias("digest")).filter("text IS NOT NULL")
     kind = rows.schema["doc"].dataType.simpleString()
-    ends = rows.mapInArrow(_ender(known), f"doc {kind}, source string, mark boolean, open boolean, stop boolean, lengths array<int>, keys array<bigint>")
+    ends = rows.mapInArrow(_ender(known), f"doc {kind}, digest bigint, source string, mark boolean, open boolean, stop boolean, lengths array<int>, keys array<bigint>")
     ends = checkpointed(ends)  # some 200 bytes a text, read three times below
+    last = ends.select("digest", F.posexplode("keys").alias("slot", "key")).distinct().select("key", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("e"))
+    counts = rows.select("text").mapInArrow(_counter(known), "key bigint, n bigint, e bigint").unionByName(last).groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
     tails = ends.select("keys").distinct().withColumn("tail", F.xxhash64("keys"))
     wanted = tails.select("tail", F.posexplode("keys").alias("slot", "key"))
     met = wanted.join(counts, "key").groupBy("tail").agg(*[F.max(F.when(F.col("slot") == s, F.struct("n", "e"))).alias(f"s{s}") for s in range(2 * LEVELS)])
     rates = [F.when(F.col(f"s{2 * i}.n") >= SUPPORT, F.struct((F.col(f"s{2 * i + 1}.e") / F.col(f"s{2 * i}.n")).alias("given"), (F.col(f"s{2 * i + 1}.e") / F.col(f"s{2 * i + 1}.n")).alias("ends"))) for i in range(LEVELS)]
     chosen = F.coalesce(*rates[:2], F.greatest(*rates[2:]))
-    scored = met.select("tail", chosen.alias("c")).select("tail", "c.given", "c.ends")
+    n, m, w, e = ([F.col(f"s{2 * i + j}.{c}") for i in range(LEVELS)] for j, c in ((0, "n"), (0, "e"), (1, "n"), (1, "e")))
+    always = [(n[i] >= SUPPORT) & (m[i] - 1 >= ANY_ENDS * (n[i] - 1)) for i in range(2)]
+    sure = [(w[i] >= AMONG) & (w[i] >= SHARE * n[i]) & (e[i] - 1 >= HALF * (w[i] - 1)) for i in range(LEVELS)]
+    scored = met.select("tail", chosen.alias("c"), F.coalesce(F.greatest(*sure), F.lit(False)).alias("sure"), F.coalesce(F.greatest(*always), F.lit(False)).alias("always")).select("tail", "c.given", "c.ends", "sure", "always")
 
     measured = ends.select("source", F.posexplode("lengths").alias("measure", "length"))
     limits = significant_lengths(measured).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
     placed = ends.withColumn("tail", F.xxhash64("keys")).join(scored, "tail", "left").join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     at = F.exists(F.transform("lengths", lambda x, i: F.struct(i.alias("measure"), x.alias("length"))), lambda x: F.array_contains("limits", x))
     one = lambda c: F.coalesce(F.col(c), F.lit(1.0)).alias(c)
-    return placed.select("doc", "source", "mark", "stop", "open", "lengths", F.coalesce(at, F.lit(False)).alias("limit"), one("given"), one("ends"))
+    return placed.select("doc", "source", "mark", "stop", "open", "lengths", F.coalesce(at, F.lit(False)).alias("limit"), one("given"), one("ends"), F.coalesce(F.col("sure") | (F.col("always") & ~F.col("open")), F.lit(False)).alias("sure"))
 
 
 def cut_texts(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -268,5 +274,5 @@ def cut_texts(documents: DataFrame, doc_id: str = "doc_id", source: str = "sourc
     found = endings(documents, doc_id, source, text)
     level = lambda pair: F.when(F.col("limit"), pair[1]).otherwise(pair[0])
     usual = F.when(F.col("open"), F.col("given") >= level(OPEN)).otherwise((F.col("given") >= level(FIXED)) & (F.col("ends") >= ENDS))
-    cut = F.when(F.col("mark"), ~F.col("stop")).otherwise(~usual)
+    cut = F.when(F.col("mark"), ~F.col("stop")).otherwise(~usual & ~F.col("sure"))
     return found.select("doc", "source", cut.alias("cut"), "limit")
