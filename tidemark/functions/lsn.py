@@ -27,4 +27,4 @@ def shown(c: Column) -> Column:
 
 def as_decimal(c: Column) -> Column:
     """The position itself, for arithmetic beyond a long."""
-    return (c.cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")

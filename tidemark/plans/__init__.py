@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from tidemark.plans import general
+from tidemark.plans import general, snapshots, timeline
 
-CATALOG = (general,)
+CATALOG = (general, snapshots.CATALOG, timeline.CATALOG)
