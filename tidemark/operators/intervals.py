@@ -168,25 +168,29 @@ def _segmented(rows: DataFrame, names: list[str], segment_rows: int) -> DataFram
 
 def gaps(periods: DataFrame, entity: Sequence[str]) -> DataFrame:
     """entity, gap_start, gap_end: the complement between neighbouring periods of each entity, segments stitched."""
+    names = [f"k{i}" for i in range(len(entity))]
+    periods = periods.toDF(*names, "segment", "starts", "ends")
     inner = F.explode(F.arrays_zip(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))).alias("a"), F.slice("starts", 2, 2147483647).alias("b")))
-    within = periods.select(*entity, inner.alias("g")).select(*entity, F.col("g.a").alias("gap_start"), F.col("g.b").alias("gap_end"))
-    edges = periods.filter("size(starts) > 0").select(*entity, "segment", F.get("starts", F.lit(0)).alias("low"), F.element_at("ends", -1).alias("high"))
-    w = Window.partitionBy(*entity).orderBy("segment")
-    between = edges.select(*entity, F.lag("high").over(w).alias("gap_start"), F.col("low").alias("gap_end")).filter("gap_start < gap_end")
-    return within.unionByName(between)
+    within = periods.select(*names, inner.alias("g")).select(*names, F.col("g.a").alias("gap_start"), F.col("g.b").alias("gap_end"))
+    edges = periods.filter("size(starts) > 0").select(*names, "segment", F.get("starts", F.lit(0)).alias("low"), F.element_at("ends", -1).alias("high"))
+    w = Window.partitionBy(*names).orderBy("segment")
+    between = edges.select(*names, F.lag("high").over(w).alias("gap_start"), F.col("low").alias("gap_end")).filter("gap_start < gap_end")
+    return within.unionByName(between).toDF(*entity, "gap_start", "gap_end")
 
 
 def period_rows(periods: DataFrame, entity: Sequence[str]) -> DataFrame:
     """entity, period_start, period_end, with periods that meet at a cut between segments joined again."""
-    exploded = periods.select(*entity, "segment", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "p"), F.size("starts").alias("n"))
+    names = [f"k{i}" for i in range(len(entity))]
+    periods = periods.toDF(*names, "segment", "starts", "ends")
+    exploded = periods.select(*names, "segment", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "p"), F.size("starts").alias("n"))
     edge = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
-    w = Window.partitionBy(*entity).orderBy("segment", "i")
-    flat = exploded.select(*entity, "segment", "i", F.col("p.starts").alias("s"), F.col("p.ends").alias("e"), edge.alias("edge"))
-    middle = flat.filter(~F.col("edge")).select(*entity, F.col("s").alias("period_start"), F.col("e").alias("period_end"))
+    w = Window.partitionBy(*names).orderBy("segment", "i")
+    flat = exploded.select(*names, "segment", "i", F.col("p.starts").alias("s"), F.col("p.ends").alias("e"), edge.alias("edge"))
+    middle = flat.filter(~F.col("edge")).select(*names, F.col("s").alias("period_start"), F.col("e").alias("period_end"))
     chain = flat.filter("edge").withColumn("fresh", (~F.coalesce(F.lag("e").over(w) >= F.col("s"), F.lit(False))).cast("int"))
     chain = chain.withColumn("run", F.sum("fresh").over(w))
-    joined = chain.groupBy(*entity, "run").agg(F.min("s").alias("period_start"), F.max("e").alias("period_end")).drop("run")
-    return middle.unionByName(joined)
+    joined = chain.groupBy(*names, "run").agg(F.min("s").alias("period_start"), F.max("e").alias("period_end")).drop("run")
+    return middle.unionByName(joined).toDF(*entity, "period_start", "period_end")
 
 
 def base_periods(bases: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:

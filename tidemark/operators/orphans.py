@@ -22,6 +22,8 @@ from tidemark.functions.ids import hex_id, packed_hex, unpacked_hex
 from tidemark.session import parallelism
 
 LONGEST = 128
+#: Keys with fewer references than this are never salted.
+HOT_ROWS = 50_000
 REASONS = ("missing", "deleted", "late")
 
 
@@ -112,7 +114,7 @@ def _hot_keys(child: DataFrame, ways: int, items: int = 64) -> dict[str, int]:
     if not top["n"]:
         return {}
     share = top["n"] / ways
-    return {r["item"]: min(ways, 1 + math.ceil(r["count"] / share * 2)) for r in top["top"] if r["count"] > max(share / 4, 50_000)}
+    return {r["item"]: min(ways, 1 + math.ceil(r["count"] / share * 2)) for r in top["top"] if r["count"] > max(share / 4, HOT_ROWS)}
 
 
 def repository_orphans(packs: DataFrame, blobs: DataFrame, files: DataFrame, month: bool = False) -> DataFrame:
