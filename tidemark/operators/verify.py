@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$|^(?i:nan)$"
 OPERATORS = (">=", "<=", "!=", ">", "<", "=")
 
 
@@ -27,7 +27,7 @@ def parse_expectation(text: str) -> tuple[str, str]:
 def holds(expect: Column, actual: Column) -> Column:
     """Whether a value meets its expectation, both as text.
 
-    Numbers compare as numbers if both sides are; otherwise `=` and `!=` compare text, t and f standing for true and
+    Numbers compare as numbers if both sides are, and what is not a number equals nothing; otherwise `=` and `!=` compare text, t and f standing for true and
     false, and an order does not hold. A null value is the text NULL.
     """
     op = F.regexp_extract(F.trim(expect), r"^(>=|<=|!=|>|<|=)?", 1)
@@ -36,6 +36,7 @@ def holds(expect: Column, actual: Column) -> Column:
     number = lambda c: F.when(c.rlike(NUMBER), c.try_cast("double"))
     a, b = number(value), number(wanted)
     numeric = F.when(op == ">=", a >= b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == "<", a < b).when(op == "!=", a != b).otherwise(a == b)
+    numeric = F.when(F.isnan(a) | F.isnan(b), op == "!=").otherwise(numeric)
     word = lambda c: F.when(c == "t", "true").when(c == "f", "false").otherwise(c)
     text = F.when(op == "!=", word(value) != word(wanted)).when(op.isin("", "="), word(value) == word(wanted)).otherwise(False)
     return F.when(a.isNotNull() & b.isNotNull(), numeric).otherwise(text)
