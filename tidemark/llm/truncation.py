@@ -206,17 +206,25 @@ def known_words(documents: DataFrame, text: str, share: float = WORD_SHARE) -> f
 def significant_lengths(lengths: DataFrame, near: int = NEIGHBOURS, discovery: float = DISCOVERY) -> DataFrame:
     """source, measure, length at which too many texts end, of rows (source, measure, length).
 
-    The hazard of a length is the share of texts at least as long that end there. Against the pooled hazard of up to
-    `near` lengths on either side, its count has a Poisson upper tail of at most exp(k - mu - k ln(k / mu)); the
+    The hazard of a length is the share of texts at least as long that end there. Against the hazard of the `near` lengths
+    below or above, whichever is higher, its count has a Poisson upper tail of at most exp(k - mu - k ln(k / mu)); the
     Benjamini-Hochberg step over all tested lengths keeps the share of false ones at `discovery`.
     """
     cells = lengths.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("source", "measure").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    about = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-near, near)
-    risk = cells.withColumn("risk", F.sum("n").over(down))
-    # at-risk texts of a length that no text has are close to those of the nearest one: the window's mean stands for all
-    around = risk.withColumn("near_n", F.sum("n").over(about) - F.col("n")).withColumn("mean_risk", F.avg("risk").over(about))
-    mu = (F.col("near_n") + 0.5) / (2 * near) * F.col("risk") / F.col("mean_risk")
+    each = Window.partitionBy("source", "measure")
+    down = each.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    risk = cells.withColumn("risk", F.sum("n").over(down)).withColumn("longest", F.max("length").over(each))
+
+    def side(low: int, high: int, lengths_there: Column) -> Column:
+        """Expected count by the hazard of one side; the risk at lengths that no text has is about that of the others."""
+        w = each.orderBy("length").rangeBetween(low, high)
+        total = F.coalesce(F.sum("n").over(w), F.lit(0)) + 0.5
+        return total / F.greatest(lengths_there, F.lit(1)) * F.col("risk") / F.coalesce(F.avg("risk").over(w), F.col("risk"))
+
+    # the longest texts of all end with certainty: their count must stand out from the counts below as well
+    below = (F.coalesce(F.sum("n").over(each.orderBy("length").rangeBetween(-near, -1)), F.lit(0)) + 0.5) / F.greatest(F.least(F.lit(near), F.col("length") - 1), F.lit(1))
+    around = risk.withColumn("mu", F.greatest(below, side(-near, -1, F.least(F.lit(near), F.col("length") - 1)), side(1, near, F.least(F.lit(near), F.col("longest") - F.col("length")))))
+    mu = F.col("mu")
     k = F.col("n").cast("double")
     tail = F.when(k > mu, (k - mu - k * F.log(k / mu)) / F.log(F.lit(10.0))).otherwise(0.0)
     tested = around.filter(F.col("n") >= LEAST_AT_LENGTH).withColumn("bucket", F.least(F.floor(-tail * 10), F.lit(5000)).cast("int"))
@@ -274,5 +282,5 @@ def cut_texts(documents: DataFrame, doc_id: str = "doc_id", source: str = "sourc
     found = endings(documents, doc_id, source, text)
     level = lambda pair: F.when(F.col("limit"), pair[1]).otherwise(pair[0])
     usual = F.when(F.col("open"), F.col("given") >= level(OPEN)).otherwise((F.col("given") >= level(FIXED)) & (F.col("ends") >= ENDS))
-    cut = F.when(F.col("mark"), ~F.col("stop")).otherwise(~usual & ~F.col("sure"))
+    cut = F.when(F.col("mark"), ~F.col("stop")).otherwise(~usual & ~(F.col("sure") & ~(F.col("limit") & F.col("open"))))
     return found.select("doc", "source", cut.alias("cut"), "limit")
