@@ -43,3 +43,17 @@ def parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SMALL_SHARE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, for work that is heavy a row.
+
+    A file of one row group is one task however many cores there are. Only inputs of less than SMALL_SHARE bytes a core
+    are dealt out anew, so the shuffle is bounded; larger ones keep the tasks of their scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if cores > 1 and size.bigInteger().longValue() < cores * SMALL_SHARE else df
