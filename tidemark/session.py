@@ -55,5 +55,5 @@ def spread(df: DataFrame) -> DataFrame:
     are dealt out anew, so the shuffle is bounded; larger ones keep the tasks of their scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if cores > 1 and size.bigInteger().longValue() < cores * SMALL_SHARE else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * SMALL_SHARE else df
