@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 Q = 12
 WORDS = 12
 BLOCK_CHARS = 2_000_000
@@ -219,6 +221,6 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str, item_id
         index = ItemIndex(block, q, words, edits)
         if any(b < 1 for b in index.bounds):
             raise ValueError(f"{edits} edits leave no shared {q}-gram in the shortest passage; use a smaller q")
-        part = corpus.mapInArrow(_finder(spark.sparkContext.broadcast(index)), kind)
+        part = spread(corpus).mapInArrow(_finder(spark.sparkContext.broadcast(index)), kind)
         found = part if found is None else found.unionByName(part)
     return found.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.min("edits").alias("edits"))

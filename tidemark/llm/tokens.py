@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import spread
+
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -146,5 +148,5 @@ def encode_texts(documents: DataFrame, keep: list[str], text: str, vocabulary: s
     rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
     names = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = rows.mapInArrow(_encoder(ranks, "text", names), schema)
+    out = spread(rows).mapInArrow(_encoder(ranks, "text", names), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, spread
 
 #: A word is known if it is in this share of the documents; at most (mean words of a document) / WORD_SHARE words are.
 WORD_SHARE = 0.005
@@ -249,10 +249,10 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     known = spark.sparkContext.broadcast(known_words(documents, text))
     rows = documents.select(F.col(doc_id).alias("doc"), _source(F.col(source)).alias("source"), F.col(text).alias("text"), F.xxhash64(text).alias("digest")).filter("text IS NOT NULL")
     kind = rows.schema["doc"].dataType.simpleString()
-    ends = rows.mapInArrow(_ender(known), f"doc {kind}, digest bigint, source string, mark boolean, open boolean, stop boolean, lengths array<int>, keys array<bigint>")
+    ends = spread(rows).mapInArrow(_ender(known), f"doc {kind}, digest bigint, source string, mark boolean, open boolean, stop boolean, lengths array<int>, keys array<bigint>")
     ends = checkpointed(ends)  # some 200 bytes a text, read three times below
     last = ends.select("digest", F.posexplode("keys").alias("slot", "key")).distinct().select("key", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("e"))
-    counts = rows.select("text").mapInArrow(_counter(known), "key bigint, n bigint, e bigint").unionByName(last).groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    counts = spread(rows.select("text")).mapInArrow(_counter(known), "key bigint, n bigint, e bigint").unionByName(last).groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
     tails = ends.select("keys").distinct().withColumn("tail", F.xxhash64("keys"))
     wanted = tails.select("tail", F.posexplode("keys").alias("slot", "key"))
