@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from tidemark.plans import catalogs, contents, general, snapshots, timeline
+from tidemark.plans import catalogs, contents, general, restores, snapshots, timeline
 
-CATALOG = (general, snapshots.CATALOG, timeline.CATALOG, contents.CATALOG, catalogs.CATALOG)
+CATALOG = (general, snapshots.CATALOG, timeline.CATALOG, contents.CATALOG, catalogs.CATALOG, restores.CATALOG)
