@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import lsn, text
 from tidemark.functions.ids import hex_id
-from tidemark.operators import chunks, logs, verify
+from tidemark.operators import chunks, verify
 from tidemark.plans.registry import catalog
 from tidemark.session import table as t
 from tidemark.sources import dumps, sqlpass

@@ -146,3 +146,45 @@ class DumpReader(DataSourceReader):
         with open(partition.value, "rb") as f:
             batch = pa.RecordBatch.from_arrays([pa.array([partition.value]), pa.array([f.read()], pa.binary())], names=["path", "content"])
         yield from _count(iter([batch]))
+
+
+def event_headers(events: DataFrame, keep: str, content: str = "content") -> DataFrame:
+    """keep and the fields of the header of each event given as bytes; a short or wrong header leaves them null."""
+    fields = ["timestamp", "type", "server_id", "length", "next_position", "flags"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column(1).to_pylist():
+                try:
+                    rows.append(event_header(data or b""))
+                except ValueError:
+                    rows.append({})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r.get(f) for r in rows], pa.int64()) for f in fields]], names=["k", *fields])
+
+    from pyspark.sql import functions as F
+
+    slim = events.select(F.col(keep).alias("k"), F.col(content).alias("c"))
+    out = slim.mapInArrow(read, f"k {slim.schema['k'].dataType.simpleString()}, " + ", ".join(f"{f} bigint" for f in fields))
+    return out.withColumnRenamed("k", keep)
+
+
+def archive_documents(archives: DataFrame) -> DataFrame:
+    """path, documents, bytes, problem of archives of documents laid end to end, given as (path, content)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                n = size = 0
+                problem = None
+                try:
+                    for doc in bson_documents(data or b""):
+                        n, size = n + 1, size + len(doc)
+                except ValueError as e:
+                    problem = str(e)
+                rows.append((path, n, size, problem))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["path", "documents", "bytes", "problem"])
+
+    return archives.select("path", "content").mapInArrow(read, "path string, documents bigint, bytes bigint, problem string")

@@ -138,11 +138,16 @@ def table_counts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_count, "path string, kind string, schema_name string, table_name string, rows bigint, problem string")
 
 
+def finished_name(name):
+    """Whether a file's name is that of a finished dump: not hidden, no part and not temporary."""
+    return ~name.rlike(r"(\.part|\.tmp|\.hidden)$|^\.")
+
+
 def read_dumps(spark: SparkSession, location: str) -> DataFrame:
     """path and content of the dumps at a location; names of unfinished and hidden files are passed over."""
     files = spark.read.format("binaryFile").load(location)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(~name.rlike(r"(\.part|\.tmp)$|^\.")).select("path", "content")
+    return files.filter(finished_name(name)).select("path", "content")
 
 
 def newest_object(spark: SparkSession, location: str, pattern: str = "*") -> DataFrame:
