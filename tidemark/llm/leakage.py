@@ -72,20 +72,29 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 def least_edits(passage: str, region: str, most: int) -> int:
-    """Fewest edits between the passage and any stretch of the region, or most + 1; cells beyond `most` are not followed."""
+    """Fewest edits between the passage and any stretch of the region, or most + 1.
+
+    A banded alignment: a stretch that needs at most `most` edits leaves the diagonal of its start by no more than that,
+    so row i is filled from column i - most to i + (difference of the lengths) + 2 most only.
+    """
     if passage in region:
         return 0
-    if not most:
-        return 1
+    m, n = len(passage), len(region)
     over = most + 1
-    row = [0] * (len(region) + 1)
+    if not most or n < m - most:
+        return over
+    row = [0] * (n + 1)
     for i, c in enumerate(passage, 1):
-        last, row[0] = row[0], min(i, over)
-        best = row[0]
-        for j, d in enumerate(region, 1):
-            here = last if c == d else 1 + min(last, row[j], row[j - 1])
+        low, high = max(1, i - most), min(n, i + n - m + 2 * most)
+        last = row[low - 1]
+        row[low - 1] = min(i, over) if low == 1 else over
+        best = row[low - 1]
+        for j in range(low, high + 1):
+            here = last if c == region[j - 1] else 1 + min(last, row[j], row[j - 1])
             last, row[j] = row[j], min(here, over)
             best = min(best, row[j])
+        if high < n:
+            row[high + 1 :] = [over] * (n - high)
         if best >= over:
             return over
     return min(row)
