@@ -128,6 +128,13 @@ class ItemIndex:
         self.table[self.hashes >> np.uint64(64 - TABLE_BITS)] = True
         self.least = np.array([max(1, b) for b in self.bounds], np.int64)
 
+    @classmethod
+    def restored(cls, state: dict) -> ItemIndex:
+        """An index from its broadcast state, which is plain data: workers need not be able to import this class."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         """(document, item, edits) of each document, in joined form, that carries a passage."""
         text = "\n".join(texts)
@@ -186,7 +193,7 @@ class ItemIndex:
 
 def _finder(index):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemIndex = index.value
+        items = ItemIndex.restored(index.value)
         for batch in batches:
             ids, texts = batch.column("doc"), batch.column("text")
             start = 0
@@ -230,6 +237,6 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str, item_id
         index = ItemIndex(block, q, words, edits)
         if any(b < 1 for b in index.bounds):
             raise ValueError(f"{edits} edits leave no shared {q}-gram in the shortest passage; use a smaller q")
-        part = spread(corpus).mapInArrow(_finder(spark.sparkContext.broadcast(index)), kind)
+        part = spread(corpus).mapInArrow(_finder(spark.sparkContext.broadcast(vars(index))), kind)
         found = part if found is None else found.unionByName(part)
     return found.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.min("edits").alias("edits"))
