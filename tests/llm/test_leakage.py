@@ -103,3 +103,13 @@ def test_the_data(spark, sf):
 
     read = lambda n, k: [(r[k], r.text) for r in spark.read.parquet(f"{sf}/{n}.parquet").collect()]
     assert {tuple(r) for r in p7_found(spark, sf).collect()} == brute(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+def test_what_is_broadcast_needs_no_import_of_this_package():
+    import pickle
+
+    index = leakage.ItemIndex([(1, WORDS[:20])], leakage.Q, leakage.WORDS, 1)
+    state = pickle.dumps(vars(index))
+    assert b"tidemark" not in state
+    again = leakage.ItemIndex.restored(pickle.loads(state))
+    assert list(again.matches([leakage.joined(WORDS[:20])])) == [(0, 1, 0)]
