@@ -136,7 +136,7 @@ class ItemIndex:
         return index
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(document, item, edits) of each document, in joined form, that carries a passage."""
+        """(document, item, edits) of each document, in joined form, that carries a passage; both by their places."""
         text = "\n".join(texts)
         codes = codes_of(text)
         edge = np.cumsum([0] + [len(t) + 1 for t in texts])
