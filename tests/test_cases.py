@@ -196,8 +196,8 @@ def test_as_of_matches_a_loop(spark):
     left = [(rng.choice("ab"), i, rng.choice([None, *range(20)])) for i in range(80)]
     right = [(rng.choice("abc"), rng.choice([None, *range(20)]), f"v{i}") for i in range(30)]
     l, r = spark.createDataFrame(left, "g string, i int, at int"), spark.createDataFrame(right, "g string, t int, v string")  # noqa: E741
-    for strict in (False, True):
-        got = {x.i: x.v for x in logs.as_of(l, r, ["g"], "at", "t", ["v"], strict).collect()}
+    for strict, bucket in ((False, None), (True, None), (False, F.floor(F.col("at_") / 4)), (True, F.floor(F.col("at_") / 4))):
+        got = {x.i: x.v for x in logs.as_of(l, r, ["g"], "at", "t", ["v"], strict, bucket).collect()}
         for g, i, a in left:
             fit = [(t, v) for h, t, v in right if h == g and t is not None and a is not None and (t < a if strict else t <= a)]
             assert got[i] == (max(fit)[1] if fit else None)

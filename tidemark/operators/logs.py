@@ -63,21 +63,34 @@ def windows(reaches: DataFrame, bases: DataFrame, series: Sequence[str]) -> Data
     return best.select(*series, F.col("b.base_id").alias("base_id"), F.col("b.reach").alias("window_end"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, take: Sequence[str], strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, take: Sequence[str], strict: bool = False, bucket: Column | None = None) -> DataFrame:
     """Left rows with `take` of the newest right row of equal `by` at or before them, strictly before with `strict`.
 
     Both sides are united and sorted once by key and time, and the last right row is carried forward: one shuffle on the
     key, no pairs. Of right rows at one time the greatest holds. Null times match nothing; rows without one keep nulls.
+
+    bucket: a rising expression of the time, which is named `at_`. Keys with very many rows are then cut into buckets;
+    what a bucket begins with is the last right row of the buckets before it, one row a bucket.
     """
     out = F.struct(*[F.col(c).alias(c) for c in take])
     names = left.columns
-    l = left.select(*by, F.col(left_at).alias("_at"), F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(None).cast(right.select(out.alias("x")).schema["x"].dataType).alias("_take"), F.lit(0 if strict else 1).alias("_side"))  # noqa: E741
-    r = right.filter(F.col(right_at).isNotNull()).groupBy(*by, F.col(right_at).alias("_at")).agg(F.max(out).alias("_take"))
-    r = r.select(*by, "_at", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), "_take", F.lit(1 if strict else 0).alias("_side"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = l.unionByName(r).withColumn("_found", F.last("_take", ignorenulls=True).over(w)).filter("_row IS NOT NULL")
-    kept = F.when(F.col("_at").isNotNull(), F.col("_found"))
-    return carried.select(*[F.col("_row")[c].alias(c) for c in names], *[kept[c].alias(c) for c in take])
+    kind = right.select(out.alias("x")).schema["x"].dataType
+    l = left.select(*by, F.col(left_at).alias("at_"), F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(None).cast(kind).alias("_take"), F.lit(0 if strict else 1).alias("_side"))  # noqa: E741
+    r = right.filter(F.col(right_at).isNotNull()).groupBy(*by, F.col(right_at).alias("at_")).agg(F.max(out).alias("_take"))
+    r = r.select(*by, "at_", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), "_take", F.lit(1 if strict else 0).alias("_side"))
+    both = l.unionByName(r)
+    if bucket is None:
+        keys, carried = [*by], both.withColumn("_before", F.lit(None).cast(kind))
+    else:
+        keys, both = [*by, "_bucket"], both.withColumn("_bucket", bucket)
+        ends = both.groupBy(*by, "_bucket").agg(F.max_by("_take", F.when(F.col("_take").isNotNull(), F.col("at_"))).alias("_end"))
+        past = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.last("_end", ignorenulls=True).over(past).alias("_before"))
+        carried = both.join(ends, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys])
+    w = Window.partitionBy(*keys).orderBy("at_", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = carried.withColumn("_found", F.coalesce(F.last("_take", ignorenulls=True).over(w), "_before")).filter("_row IS NOT NULL")
+    kept = F.when(F.col("at_").isNotNull(), F.col("_found"))
+    return found.select(*[F.col("_row")[c].alias(c) for c in names], *[kept[c].alias(c) for c in take])
 
 
 def transactions(events: DataFrame, log: Sequence[str], order: Sequence[str], closes: Column) -> DataFrame:
