@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ SLICE_TOKENS = 400_000
 
 _STOPS = ".!?。؟।"
 #: A stop takes the blank behind it along, so that it can be told from one within a word.
-_TOKEN = re.compile(rf"\n+|[{_STOPS}](?:[^\S\n]|$)?|[^\W\d_]+-\d+\b|\w+|[^\w\s]")
+_TOKEN = re.compile(rf"\w+(?:(?<=[^\W\d_])-\d+\b)?|\n+|[{_STOPS}](?:[^\S\n]|$)?|[^\w\s]")
 #: Fixed value: marks that a cut may leave behind.
 _MARK = re.compile(r"\s*(?:\[[^\[\]\n]{0,40}(?:truncat|clipped|cut off|gekürzt|abgeschnitten|tronqu|coup[ée]|cortad|recortad)[^\[\]\n]{0,40}\]|…|(?<!\.)\.{3}|(?<=\.)\.{3})\s*$", re.IGNORECASE)
 _CLOSERS = re.compile(f"(?<=[{_STOPS}])[\"'»”’)\\]]+$")
@@ -124,33 +125,38 @@ def contexts(a: np.ndarray, b: np.ndarray, c: np.ndarray, loose: np.ndarray, las
 
 
 def _counter(known):
-    def counted(tokens: Tokens, numbers: list[int]) -> pa.RecordBatch:
-        ids = np.array([*numbers, tokens.start])
+    def counted(tokens: Tokens, numbers: array) -> pa.RecordBatch:
+        numbers.append(tokens.start)
+        ids = np.frombuffer(numbers, np.int32)
         e, w, _, stop = tokens.columns(ids)
         following = ids[1:]
         done = (stop[:-1] | (following == tokens.line) | (following == tokens.start))[3:]
         # a text's last token is counted by its ending, once for all copies of the text
-        real = (ids[3:-1] != tokens.start) & (following[3:] != tokens.start)
+        real = np.flatnonzero((ids[3:-1] != tokens.start) & (following[3:] != tokens.start))
+        a, b, c, loose, last = (x[real] for x in (e[:-4], e[1:-3], e[2:-2], w[2:-2], e[3:-1]))
+        # equal stretches of four tokens are counted first; the other keys are counted over the different ones only
+        _, at, back, times = np.unique(_mixed(0, a, b, c, last), return_index=True, return_inverse=True, return_counts=True)
+        ending = np.bincount(back, weights=done[real], minlength=len(at))
         keys, n, closing = [], [], []
-        for before, whole in contexts(e[:-4], e[1:-3], e[2:-2], w[2:-2], e[3:-1]):
-            for key in (before[real], whole[real]):
-                k, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        for pair in contexts(a[at], b[at], c[at], loose[at], last[at]):
+            for key in pair:
+                k, back = np.unique(key, return_inverse=True)
                 keys.append(k)
-                n.append(count)
-                closing.append(np.bincount(back, weights=done[real], minlength=len(k)).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(closing))], names=["key", "n", "e"])
+                n.append(np.bincount(back, weights=times, minlength=len(k)))
+                closing.append(np.bincount(back, weights=ending, minlength=len(k)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(closing).astype(np.int64))], names=["key", "n", "e"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(known.value)
-        numbers: list[int] = []
+        numbers = array("i")
         for batch in batches:
             for text in batch.column(0):
                 value = text.as_py()
                 if value and not value.isspace():
-                    numbers += tokens.read(bare(value)[0])
+                    numbers.extend(tokens.read(bare(value)[0]))
                 if len(numbers) > SLICE_TOKENS:
                     yield counted(tokens, numbers)
-                    numbers = []
+                    numbers = array("i")
         if numbers:
             yield counted(tokens, numbers)
 
@@ -197,9 +203,9 @@ def _ender(known):
 def known_words(documents: DataFrame, text: str, share: float = WORD_SHARE) -> frozenset[str]:
     """Words in at least `share` of the documents that have text; each holds `share` of them, which bounds their number."""
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)))
-    rows = documents.filter(F.length(F.trim(text)) > 0).select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
-    counted = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    all_of = counted.filter("word = ''").agg(F.max("n")).first()[0] or 0
+    there = documents.filter(F.length(F.trim(text)) > 0)
+    all_of = there.count()
+    counted = there.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return frozenset(r["word"] for r in counted.filter(F.col("n") >= max(LEAST_DOCS, share * all_of)).toLocalIterator())
 
 
