@@ -39,6 +39,36 @@ def test_full_sized_items_and_exact_fits():
     assert len(packing.pack(np.empty(0, np.int64), 100)) == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 500), min_size=2, max_size=60), st.integers(500, 900), st.integers(0, 9))
+def test_a_turn_keeps_every_item_and_never_adds_containers(lengths, capacity, seed):
+    falling = sorted(lengths, reverse=True)
+    state = packing.Containers(capacity, levels=32)
+    for i, size in enumerate(falling):
+        state.place(i, size)
+    order = np.random.default_rng(seed)
+    used = len(state.fill)
+    for _ in range(20):
+        there = [c for c, f in enumerate(state.fill) if f]
+        state.turn(sorted(order.choice(there, size=min(3, len(there)), replace=False).tolist()), order, falling)
+        now = sum(f > 0 for f in state.fill)
+        assert now <= used
+        used = now
+        assert sorted(i for items in state.items for i in items) == list(range(len(falling)))
+        assert [sum(falling[i] for i in items) for items in state.items] == state.fill and max(state.fill) <= capacity
+        assert sorted(state.empty) == [c for c, f in enumerate(state.fill) if not f]
+        partly = sorted((f, c) for c, f in enumerate(state.fill) if 0 < f < capacity)
+        assert sorted(x for level in state.at for x in level) == partly and state.count.tolist() == [len(level) for level in state.at]
+
+
+def test_more_turns_never_cost_containers_and_places_are_the_same_each_time():
+    rng = np.random.default_rng(4)
+    lengths = np.sort(rng.choice([70, 50, 33, 30, 26], 200) + rng.integers(-2, 2, 200))[::-1]
+    plain, better = packing.sum_of_squares(lengths, 100, turns=0), packing.sum_of_squares(lengths, 100)
+    assert better.max() <= plain.max()
+    assert (better == packing.sum_of_squares(lengths, 100)).all()
+
+
 NAMES = "e string, ty int, id string, len long, cap long, shard int, grp string, local long, fill long"
 
 

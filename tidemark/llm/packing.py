@@ -2,12 +2,13 @@
 
 Sum-of-squares packing: every item goes to the fill level at which the sum of the squared counts of partly filled
 containers grows least; the counts live in a level array and a container is opened only when none can take the item.
-Items come in order of falling length. Fills are exact bytes, levels only rank them, so a container never exceeds its
-capacity. Where that needs more containers than the bytes do, and the shard is small enough, a bounded search that fills
-one container at a time as full as it can tries the same items, and the smaller result holds.
+Fills are exact bytes, levels only rank them, so a container never exceeds its capacity. Items come in falling length.
+While more containers are used than the lengths call for, a few loosely filled ones are emptied and their items come
+once more, to be placed by the same rule; the better of both states holds. There are TURNS such turns for each
+container beyond that bound, at every size of group.
 
-Groups are cut into shards of about SHARD_ITEMS items by a hash, each packed by one task; the items of the containers
-that a shard of a cut group leaves partly filled are then packed once more, together, in shards of the same size.
+Groups of more than SHARD_ITEMS items are cut into shards by a hash, each packed by one task; the items of the
+containers that a shard leaves partly filled are then packed once more, together, in shards of the same size.
 """
 
 from __future__ import annotations
@@ -21,98 +22,142 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import checkpointed
+
 LEVELS = 1024
+TURNS = 100
+#: Containers emptied a turn, beside the emptiest one.
+EMPTIED = 3
 SHARD_ITEMS = 200_000
-SEARCH_ITEMS, SEARCH_STEPS = 20_000, 300
 OPEN_BELOW = 0.995
+_NEVER = np.iinfo(np.int64).max
+
+
+class Containers:
+    """Containers of one capacity, with the level array of those that are partly filled."""
 
+    def __init__(self, capacity: int, levels: int = LEVELS):
+        self.capacity, self.levels = capacity, levels
+        self.count = np.zeros(levels + 1, np.int64)
+        self.at: list[list[tuple[int, int]]] = [[] for _ in range(levels + 1)]
+        self.highest = -1
+        self.fill: list[int] = []
+        self.items: list[list[int]] = []
+        self.empty: list[int] = []
+        #: State before a turn of each container it touches; none outside turns.
+        self.before: dict[int, list[int]] | None = None
 
-def sum_of_squares(lengths: np.ndarray, capacity: int, levels: int = LEVELS) -> np.ndarray:
-    """Container of each item; lengths fall and none exceeds the capacity."""
-    count = np.zeros(levels + 1, np.int64)
-    at: list[list[tuple[int, int]]] = [[] for _ in range(levels + 1)]
-    where = np.empty(len(lengths), np.int64)
-    opened = 0
-    highest = -1
-    for i, size in enumerate(lengths.tolist()):
-        step = size * levels // capacity
-        top = min(levels - step, highest)
+    def _enter(self, c: int) -> None:
+        if 0 < self.fill[c] < self.capacity:
+            level = self.fill[c] * self.levels // self.capacity
+            bisect.insort(self.at[level], (self.fill[c], c))
+            self.count[level] += 1
+            self.highest = max(self.highest, level)
+
+    def _leave(self, c: int) -> None:
+        if 0 < self.fill[c] < self.capacity:
+            level = self.fill[c] * self.levels // self.capacity
+            place = self.at[level]
+            place.pop(bisect.bisect_left(place, (self.fill[c], c)))
+            self.count[level] -= 1
+
+    def place(self, item: int, size: int) -> None:
+        """Into the fullest container that has room at the level where the squares grow least."""
+        step = size * self.levels // self.capacity
+        top = min(self.levels - step, self.highest)
         target = None
         if top >= 0:
-            here = count[: top + 1]
+            here = self.count[: top + 1]
+            cost = -np.arange(top + 1)
             if step:
-                # placing moves one container from level h to h + step: the squares grow by 2 (N[h + step] - N[h] + 1)
-                there = count[step : step + top + 1]
-                cost = (there - here) * (levels + 1) - np.arange(top + 1)
-            else:
-                cost = -np.arange(top + 1)
-            cost = np.where(here > 0, cost, np.iinfo(np.int64).max)
-            while True:
-                h = int(cost.argmin())
-                if cost[h] == np.iinfo(np.int64).max:
-                    break
-                k = bisect.bisect_right(at[h], (capacity - size, opened)) - 1
+                # from level h to h + step the squares grow by 2 (N[h + step] - N[h] + 1); ties go to the fuller level
+                cost += (self.count[step : step + top + 1] - here) * (self.levels + 1)
+            cost = np.where(here > 0, cost, _NEVER)
+            while cost[h := int(cost.argmin())] != _NEVER:
+                k = bisect.bisect_right(self.at[h], (self.capacity - size, len(self.fill))) - 1
                 if k >= 0:
-                    target = at[h].pop(k)
-                    count[h] -= 1
+                    target = self.at[h][k][1]
                     break
-                cost[h] = np.iinfo(np.int64).max
+                cost[h] = _NEVER
         if target is None:
-            target = (0, opened)
-            opened += 1
-        fill = target[0] + size
-        where[i] = target[1]
-        if fill < capacity:
-            level = fill * levels // capacity
-            bisect.insort(at[level], (fill, target[1]))
-            count[level] += 1
-            highest = max(highest, level)
-    return where
+            if self.empty:
+                target = self.empty.pop()
+            else:
+                target = len(self.fill)
+                self.fill.append(0)
+                self.items.append([])
+        if self.before is not None and target not in self.before:
+            self.before[target] = self.items[target][:]
+        self._leave(target)
+        self.fill[target] += size
+        self.items[target].append(item)
+        self._enter(target)
 
+    def take_out(self, c: int) -> list[int]:
+        """Empty a container; its items."""
+        self._leave(c)
+        items, self.items[c], self.fill[c] = self.items[c], [], 0
+        self.empty.append(c)
+        return items
 
-def fullest_first(lengths: np.ndarray, capacity: int, steps: int = SEARCH_STEPS, most: int | None = None) -> np.ndarray | None:
-    """Containers filled one after the other, each by a depth-first search of at most `steps` for the least slack; none
-    if that takes `most` containers or more."""
-    left, ids = lengths.tolist(), list(range(len(lengths)))
-    where = np.empty(len(lengths), np.int64)
-    opened = 0
-    while left:
-        if most is not None and opened + 1 >= most:
-            return None
-        slack = capacity - left[0]
-        best, least = [0], slack
-        stack = [(1, slack, [0])]
-        for _ in range(steps):
-            if not stack or not least:
+    def turn(self, chosen: list[int], order: np.random.Generator, lengths: list[int]) -> bool:
+        """Empty the chosen containers and place their items anew; undone unless containers are saved or the fills drift
+        apart, which leaves more room in one piece."""
+        self.before = {c: self.items[c][:] for c in chosen}
+        opened = len(self.fill)
+        again = [i for c in chosen for i in self.take_out(c)]
+        sizes = np.array([lengths[i] for i in again])
+        noise = order.choice((0.0, 0.1, 0.5)) * order.standard_normal(len(again))
+        for k in np.argsort(-sizes * np.exp(noise), kind="stable").tolist():
+            self.place(again[k], lengths[again[k]])
+        before, self.before = self.before, None
+        old = [sum(lengths[i] for i in items) for items in before.values()]
+        new = [self.fill[c] for c in before]
+        gain = sum(f > 0 for f in old) - sum(f > 0 for f in new)
+        if gain > 0 or (gain == 0 and sum(f * f for f in new) >= sum(f * f for f in old)):
+            return True
+        for c in before:
+            self._leave(c)
+        for (c, items), f in zip(before.items(), old, strict=True):
+            self.items[c], self.fill[c] = items, f
+            self._enter(c)
+        del self.items[opened:], self.fill[opened:]
+        self.empty = [c for c in {*self.empty, *before} if c < opened and not self.fill[c]]
+        return False
+
+
+def sum_of_squares(lengths: np.ndarray, capacity: int, levels: int = LEVELS, turns: int = TURNS) -> np.ndarray:
+    """Container of each item, numbered from 0; lengths fall and none exceeds the capacity."""
+    packed = Containers(capacity, levels)
+    sizes = lengths.tolist()
+    for i, size in enumerate(sizes):
+        packed.place(i, size)
+    floor = max(-(-sum(sizes) // capacity), int((lengths * 2 > capacity).sum()))
+    used = len(packed.fill)
+    if used > floor:
+        order = np.random.default_rng(0)  # the same turns whenever a task runs again
+        for _ in range(turns * (used - floor)):
+            # the emptiest container and some others, loosely filled ones rather than full ones
+            fills = np.array(packed.fill, float) / capacity
+            chance = np.where(fills > 0, 1.02 - fills, 0.0)
+            some = order.choice(len(fills), size=min(EMPTIED, int((fills > 0).sum())), replace=False, p=chance / chance.sum())
+            least = int(np.where(fills > 0, fills, 2.0).argmin())
+            packed.turn(sorted({least, *some.tolist()}), order, sizes)
+            if len(packed.fill) - len(packed.empty) <= floor:
                 break
-            start, room, chosen = stack.pop()
-            k = bisect.bisect_left(left, -room, lo=start, key=lambda x: -x)
-            if k >= len(left):
-                continue
-            stack.append((k + 1, room, chosen))
-            rest, taken = room - left[k], [*chosen, k]
-            if rest < least:
-                best, least = taken, rest
-            stack.append((k + 1, rest, taken))
-        for k in reversed(best):
-            where[ids.pop(k)] = opened
-            left.pop(k)
-        opened += 1
+    where = np.empty(len(sizes), np.int64)
+    for number, items in enumerate(items for items in packed.items if items):
+        where[items] = number
     return where
 
 
 def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Container numbers from 0 of items in any order, none longer than the capacity."""
     order = np.argsort(-lengths, kind="stable")
-    falling = lengths[order]
-    where = sum_of_squares(falling, capacity)
-    used = int(where.max()) + 1 if len(where) else 0
-    floor = max(-(-int(falling.sum()) // capacity), int((falling * 2 > capacity).sum()))
-    if used > floor and len(falling) <= SEARCH_ITEMS:
-        other = fullest_first(falling, capacity, most=used)
-        where = where if other is None else other
-    out = np.empty(len(where), np.int64)
-    out[order] = where
+    out = np.empty(len(lengths), np.int64)
+    full = int((lengths == capacity).sum())  # first in order, each fills a container
+    out[order[:full]] = np.arange(full)
+    out[order[full:]] = full + sum_of_squares(lengths[order[full:]], capacity)
     return out
 
 
@@ -168,10 +213,8 @@ def _packed(items: DataFrame, names: list[str]) -> DataFrame:
     return placed.mapInArrow(_packer([*names, "shard"]), schema)
 
 
-def _sharded(items: DataFrame, names: list[str], shard_items: int, salt: int) -> DataFrame:
-    sizes = items.groupBy(*[F.col(n).alias(f"s_{n}") for n in names]).agg(F.ceil(F.count(F.lit(1)) / shard_items).cast("int").alias("shards"))
-    joined = items.join(sizes, [F.col(n).eqNullSafe(F.col(f"s_{n}")) for n in names]).drop(*[f"s_{n}" for n in names])
-    return joined.withColumn("shard", F.pmod(F.xxhash64("item", "piece", F.lit(salt)), "shards").cast("int"))
+def _shard(shards: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("item", "piece", F.lit(salt)), shards).cast("int")
 
 
 def pack_items(items: DataFrame, group: list[str], item: str, length: str, capacity: Column | str, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -182,22 +225,32 @@ def pack_items(items: DataFrame, group: list[str], item: str, length: str, capac
     out, as are null items. A longer item is cut into pieces of the capacity and a rest; pieces are numbered from 0. A
     null group is a group of its own. pack_no is unique within a group, with gaps where the group was cut into shards.
     An empty table gives no rows. The capacity must be positive and the same for all rows of a group.
+
+    One job counts the pieces a group while the plan is made. If a group exceeds shard_items, the first packing is
+    checkpointed, so that no group is packed twice.
     """
     names = [f"g{i}" for i in range(len(group))]
     cap = F.col(capacity) if isinstance(capacity, str) else capacity
-    distinct = items.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col(item).alias("item"), F.col(length).cast("long").alias("whole"), cap.cast("long").alias("cap"))
-    distinct = distinct.filter("item IS NOT NULL AND whole > 0").groupBy(*names, "item").agg(F.max("whole").alias("whole"), F.max("cap").alias("cap"))
+    rows = items.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col(item).alias("item"), F.col(length).cast("long").alias("whole"), cap.cast("long").alias("cap"))
+    rows = rows.filter("item IS NOT NULL AND whole > 0")
+    distinct = rows.groupBy(*names, "item").agg(F.max("whole").alias("whole"), F.max("cap").alias("cap"))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(whole - 1) div cap")))
     pieces = distinct.select(*names, "item", "whole", "cap", piece.alias("piece")).withColumn("len", F.least("cap", F.expr("whole - piece * cap"))).drop("whole")
 
     columns = [*names, "shard", "cap", "len", "item", "piece"]
-    sharded = _sharded(pieces, names, shard_items, 0)
-    spread = lambda turn: F.lit(turn << 56) + F.shiftleft(F.col("shard").cast("long"), 32) + F.col("local")
-    whole = _packed(sharded.filter("shards <= 1").select(columns), names).withColumn("pack_no", spread(0))
-    cut = _packed(sharded.filter("shards > 1").select(columns), names)
-    again = F.col("fill") < F.col("cap") * OPEN_BELOW
-    done = cut.filter(~again).withColumn("pack_no", spread(0))
-    rest = _sharded(cut.filter(again).drop("shard", "local", "fill"), names, shard_items, 1)
-    more = _packed(rest.select(columns), names).withColumn("pack_no", spread(1))
-    both = whole.unionByName(done).unionByName(more)
+    sizes = rows.groupBy(*names).agg(F.sum(F.expr("(whole - 1) div cap + 1")).alias("n"))  # repeated rows only add to it
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= shard_items:
+        both = _packed(pieces.withColumn("shard", F.lit(0)).select(columns), names).withColumn("pack_no", F.col("local"))
+    else:
+        large = sizes.filter(F.col("n") > shard_items).select(*[F.col(n).alias(f"s_{n}") for n in names], F.ceil(F.col("n") / shard_items).cast("int").alias("shards"))
+        on = [F.col(n).eqNullSafe(F.col(f"s_{n}")) for n in names]
+        sharded = pieces.join(large, on, "left").drop(*[f"s_{n}" for n in names])
+        first = sharded.withColumn("shard", F.coalesce(_shard(F.col("shards"), 0), F.lit(-1)))
+        first = checkpointed(_packed(first.select(columns), names))
+        again = (F.col("shard") >= 0) & (F.col("fill") < F.col("cap") * OPEN_BELOW)
+        left = first.filter(again).select(*names, "cap", "len", "item", "piece")
+        counts = left.groupBy(*[F.col(n).alias(f"s_{n}") for n in names]).agg(F.ceil(F.count(F.lit(1)) / shard_items).cast("int").alias("shards"))
+        rest = left.join(counts, on).withColumn("shard", _shard(F.col("shards"), 1))
+        number = lambda turn: F.lit(turn << 56) + F.shiftleft(F.greatest("shard", F.lit(0)).cast("long"), 32) + F.col("local")
+        both = first.filter(~again).withColumn("pack_no", number(0)).unionByName(_packed(rest.select(columns), names).withColumn("pack_no", number(1)))
     return both.select(*[F.col(n).alias(g) for g, n in zip(group, names, strict=True)], F.col("item").alias(item), "piece", F.col("len").alias(length), F.col("cap").alias("capacity"), "pack_no")
