@@ -85,12 +85,43 @@ def test_many_items_go_in_blocks_and_budgets_are_checked(spark, monkeypatch):
     whole = {tuple(r) for r in leakage.leaked_passages(d, i, "doc_id", "item_id").collect()}
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
     assert {tuple(r) for r in leakage.leaked_passages(d, i, "doc_id", "item_id").collect()} == whole
+    monkeypatch.setattr(leakage, "PART_CHARS", 40)
+    assert {tuple(r) for r in leakage.leaked_passages(d, i, "doc_id", "item_id").collect()} == whole
     with pytest.raises(ValueError):
-        leakage.leaked_passages(d, i, "doc_id", "item_id", edits=9)
+        leakage.leaked_passages(d, i, "doc_id", "item_id", edits=25)
     assert leakage.leaked_passages(d.limit(0), i, "doc_id", "item_id").count() == 0
     assert leakage.leaked_passages(d, i.limit(0), "doc_id", "item_id").count() == 0
 
 
+def test_a_hundred_blocks_take_one_scan_of_the_corpus(spark, monkeypatch):
+    documents, items = world(5)
+    more = items[:20] * 1 + [(1000 + k, " ".join(random.Random(k).choices(WORDS, k=30))) for k in range(130)]
+    d, i = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(more, "item_id long, text string")
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 120)
+    monkeypatch.setattr(leakage, "SLICE_CHARS", 2_000)
+    assert len(list(leakage._blocks(iter(more), 12, 0))) >= 100
+    found = leakage.leaked_passages(d, i, "doc_id", "item_id", edits=0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == brute(documents, more)
+
+
+def test_short_passages_do_not_stop_others(spark):
+    letters = "a b c d e f g h i j k l m n"
+    d = spark.createDataFrame([(1, f"x y {letters} z"), (2, f"so {' '.join(WORDS[:15])} on"), (3, "b c d e f g h q j k l m"), (4, "a b c")], "doc_id long, text string")
+    i = spark.createDataFrame([(7, letters), (8, " ".join(WORDS[:20]))], "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaked_passages(d, i, "doc_id", "item_id", edits=0).collect()} == {(1, 7, 0), (2, 8, 0)}
+    assert {tuple(r) for r in leakage.leaked_passages(d, i, "doc_id", "item_id").collect()} == {(1, 7, 0), (2, 8, 0), (3, 7, 1)}
+
+
+def test_texts_that_repeat_themselves(monkeypatch):
+    monkeypatch.setattr(leakage, "HITS", 1_000)
+    long = leakage.joined(["a"] * 3_000)
+    index = leakage.ItemIndex([(1, ["a"] * 40), (2, ["b"] + ["a"] * 20), (3, ["a"] * 6 + ["c"] * 7)], 8, 12, 2)
+    assert sorted(index.matches([leakage.joined(["x"] * 12), long])) == [(1, 0, 0), (1, 1, 0)]
+    near = leakage.joined(["a"] * 300 + ["ab"] + ["a"] * 3)
+    assert sorted(index.matches([near, leakage.joined(["b", "a"] * 9)])) == [(0, 0, 0), (0, 1, 0)]
+
+
 def test_a_very_long_text(spark):
     item = " ".join(WORDS[:20])
     text = "filler words here " * 60_000 + item + " and more" * 1000
@@ -108,7 +139,7 @@ def test_the_data(spark, sf):
 def test_what_is_broadcast_needs_no_import_of_this_package():
     import pickle
 
-    index = leakage.ItemIndex([(1, WORDS[:20])], leakage.Q, leakage.WORDS, 1)
+    index = leakage.ItemIndex([(1, WORDS[:20])], 12, leakage.WORDS, 1)
     state = pickle.dumps(vars(index))
     assert b"tidemark" not in state
     again = leakage.ItemIndex.restored(pickle.loads(state))

@@ -39,18 +39,18 @@ def p6_token_counts(spark, d):
     return ids.groupBy(F.lower("source").alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids").cast("long")).alias("tokens"))
 
 
-def _leaks(spark, d):
-    return leakage.leaked_passages(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id")
+def _leaks(spark, d, edits):
+    return leakage.leaked_passages(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", edits=edits)
 
 
 def p7_found(spark, d):
-    return _leaks(spark, d).filter("edits = 0").select("doc_id", "item_id")
+    return _leaks(spark, d, 0).select("doc_id", "item_id")
 
 
 def p7_leaked_items(spark, d):
     """Items that leaked, with the documents that carry a passage word for word or with at most two edits."""
     exact = F.count(F.when(F.col("edits") == 0, 1)).alias("exact_documents")
-    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), exact)
+    return _leaks(spark, d, 2).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), exact)
 
 
 def p8_found(spark, d):
