@@ -63,10 +63,39 @@ def test_limits_are_significant_and_others_are_not(spark):
 
 @pytest.mark.parametrize(
     ("text", "body", "mark"),
-    [("abc…", "abc", True), ("abc [message truncated]\n", "abc", True), ("abc...", "abc", True), ("abc....", "abc.", True), ('"Done."', '"Done.', False), ("abc. ", "abc.", False), ("a [clipped] b", "a [clipped] b", False)],
+    [("abc…", "abc", "…"), ("abc [Message 12 truncated]\n", "abc", "[message 0 truncated]"), ("abc...", "abc", "..."), ("abc....", "abc.", "..."), ('"Done."', '"Done."', None), ("abc. ", "abc.", None), ("a [clipped] b", "a [clipped] b", None), ("abc (end)", "abc", "(end)")],
 )
-def test_marks_and_closers(text, body, mark):
-    assert truncation.bare(text) == (body, mark)
+def test_what_may_be_a_mark(text, body, mark):
+    assert truncation.parted(text) == (body, mark)
+
+
+def test_closers_go():
+    assert truncation.closed('He said "Done." \n') == 'He said "Done.'
+    assert truncation.closed("a (b)") == "a (b)"
+
+
+def test_marks_are_learnt_from_the_lengths_before_them(spark):
+    rng = random.Random(11)
+    texts = [" ".join(sentence(rng) for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    cut = [(i, t[:150].rstrip() + " <more>", "mail") for i, t in enumerate(texts) if len(t) > 150 and t[149].isalnum() and t[150].isalnum()]
+    whole = [(5000 + i, t + " (end)", "mail") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(cut + whole, "doc_id long, text string, source string")
+    found = truncation.cut_texts(df)
+    assert found.filter("doc < 5000 AND cut").count() == len(cut) and found.filter("mark").count() == len(cut)
+    assert found.filter("doc >= 5000 AND cut").count() == 0
+
+
+def test_last_units_of_unusual_length_are_significant(spark):
+    rows = [("a", 1, 12, 400, 3000), ("a", 1, 14, 300, 2500), ("a", 2, 3, 30, 0), ("a", 2, 12, 2, 0), ("b", 1, 12, 300, 3000), ("b", 2, 3, 2, 0), (None, 2, 3, 40, 0), (None, 1, 3, 60, 900)]
+    found = truncation.significant_units(spark.createDataFrame(rows, "source string, kind long, tokens long, last long, inner long"))
+    assert {tuple(r) for r in found.collect()} == {("a", 2, 3), ("a", 2, 12), (None, 2, 3)}
+    assert truncation.significant_units(spark.createDataFrame([], "source string, kind long, tokens long, last long, inner long")).count() == 0
+
+
+def test_every_cut_text_has_a_significant_length(spark):
+    rows, _ = world()
+    found = truncation.cut_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert found.filter("cut AND NOT (limit OR unit OR mark)").count() == 0 and found.filter("cut AND unit AND NOT limit").count() > 0
 
 
 def test_copies_of_a_cut_text_do_not_make_it_complete(spark):
