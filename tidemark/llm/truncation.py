@@ -260,10 +260,9 @@ def known_words(documents: DataFrame, text: str, share: float = WORD_SHARE) -> f
     """Words in at least `share` of the documents that have text; each holds `share` of them, which bounds their number."""
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)))
     there = documents.filter(F.length(F.trim(text)) > 0)
-    # the empty word, which no text holds, counts the documents
-    counted = there.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    all_of = F.broadcast(counted.filter("word = ''").select(F.col("n").alias("all")))
-    return frozenset(r["word"] for r in counted.crossJoin(all_of).filter(F.col("n") >= F.greatest(F.lit(LEAST_DOCS), F.col("all") * share)).toLocalIterator() if r["word"])
+    all_of = there.count()
+    counted = there.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r["word"] for r in counted.filter(F.col("n") >= max(LEAST_DOCS, share * all_of)).toLocalIterator())
 
 
 def discovered(tested: DataFrame, discovery: float = DISCOVERY) -> DataFrame:
@@ -345,12 +344,13 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
 
     measured = texts.select("source", F.posexplode("lengths").alias("measure", "length"))
     limits = significant_lengths(measured).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
+    limits = checkpointed(limits)
     texts = texts.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at = F.transform("lengths", lambda x, i: F.coalesce(F.array_contains("limits", F.struct(i.alias("measure"), x.alias("length"))), F.lit(False)))
     texts = texts.withColumn("at", at).drop("limits").withColumn("limit", F.array_contains("at", True)).withColumn("before", F.get("at", F.lit(2)) | F.get("at", F.lit(3)))
     often = F.count(F.when(F.col("before"), 1))
     marks = texts.filter("suffix IS NOT NULL").groupBy(F.col("suffix").alias("x")).agg(often.alias("k"), F.count(F.lit(1)).alias("n")).filter((F.col("k") >= LEAST_AT_LENGTH) & (F.col("k") * 2 > F.col("n")))
-    texts = texts.join(marks.select("x", F.lit(True).alias("mark")), F.col("suffix") == F.col("x"), "left").withColumn("mark", F.coalesce("mark", F.lit(False)))
+    texts = texts.join(checkpointed(marks).select("x", F.lit(True).alias("mark")), F.col("suffix") == F.col("x"), "left").withColumn("mark", F.coalesce("mark", F.lit(False)))
     ending = F.when(F.col("mark"), F.col("body")).otherwise(F.col("whole"))
     texts = texts.select("doc", "digest", "source", "mark", "limit", "lengths", "kind", "tokens", ending["open"].alias("open"), ending["stop"].alias("stop"), ending["keys"].alias("keys"))
 
@@ -358,7 +358,7 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     inner = inner.select(F.col("u.unit_sources").alias("source"), F.col("u.unit_kinds").alias("kind"), F.col("u.unit_tokens").alias("tokens"), F.lit(0).cast("long").alias("last"), F.col("u.unit_n").alias("inner"))
     last = read.filter("tokens > 0").select("source", "kind", "tokens", F.lit(1).cast("long").alias("last"), F.lit(0).cast("long").alias("inner"))
     units = inner.unionByName(last).groupBy("source", "kind", "tokens").agg(F.sum("last").alias("last"), F.sum("inner").alias("inner"))
-    units = significant_units(units).select(F.col("source").alias("us"), F.col("kind").alias("uk"), F.col("tokens").alias("ut"), F.lit(True).alias("unit"))
+    units = checkpointed(significant_units(units)).select(F.col("source").alias("us"), F.col("kind").alias("uk"), F.col("tokens").alias("ut"), F.lit(True).alias("unit"))
 
     once = texts.select("digest", F.posexplode("keys").alias("slot", "key")).distinct().select("key", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("e"))
     counts = read.filter("keys IS NOT NULL").select(F.explode(F.arrays_zip("keys", "n", "e")).alias("c")).select("c.keys", "c.n", "c.e").toDF("key", "n", "e")
