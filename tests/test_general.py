@@ -111,6 +111,36 @@ def test_periods_and_gaps_match_a_sweep(spark, segment):
     assert rows(intervals.gaps(periods, ["g"]), "g", "gap_start", "gap_end") == gaps
 
 
+def test_an_entity_far_beyond_one_round_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "STEPS", 4)
+    rng = random.Random(8)
+    data = [("hot", s, s + rng.randint(1, 5)) for s in (rng.randint(0, 4000) for _ in range(900))] + [(None, 3, 9)]
+    df = spark.createDataFrame(data, "g string, s long, e long").repartition(5)
+    periods = intervals.continuous_periods(df, ["g"], "s", "e", segment_rows=10)
+    got = [r[1:] for r in rows(intervals.period_rows(periods, ["g"]), "g", "period_start", "period_end") if r[0] == "hot"]
+    assert sorted(got) == brute_periods([d[1:] for d in data if d[0] == "hot"])
+    sizes = [r[0] for r in periods.selectExpr("size(starts)").collect()]
+    assert len(sizes) > 60 and max(sizes) <= 40
+
+
+def test_the_tree_takes_few_lists_a_slot_at_any_number_of_tasks():
+    for leaves in (1, 8, 16, 17, 256, 10_000, 100_000):
+        below = leaves
+        for slots in intervals.tree_slots(leaves):
+            assert -(-below // slots) <= intervals.FAN_IN and slots * intervals.FAN_IN >= below
+            below = slots
+        assert below == 1
+
+
+def test_ten_thousand_lists_in_one_slot():
+    import numpy as np
+
+    rng = random.Random(5)
+    lists = [[(s := rng.randint(0, 10**6), s + rng.randint(1, 200))] for _ in range(10_000)]
+    s, e = intervals._reduced([tuple(np.array(c, np.int64) for c in zip(*x, strict=True)) for x in lists])[0]
+    assert list(zip(s.tolist(), e.tolist(), strict=True)) == brute_periods([y for x in lists for y in x])
+
+
 def test_merge_lists_is_the_merge_of_its_lists():
     import numpy as np
 

@@ -1,14 +1,16 @@
 """Overlapping and gapped intervals: continuous periods per entity and the stretches between them.
 
 The aggregate's state is a list of sorted disjoint intervals per entity. Every input partition folds its rows into one
-state per entity before anything is shuffled; a reduction tree of LEAVES slots then combines FAN_IN slots at a time by
-merging sorted lists. An entity with many rows is cut into segments of the axis at its own quantiles, so no state holds more than
-about SEGMENT_ROWS intervals however much of the data the entity owns, and the segments are stitched together by their
+state per entity before anything is shuffled; a reduction tree with a leaf a task then combines FAN_IN neighbouring
+states at a time by merging sorted lists, on as many levels as the number of tasks calls for. An entity with more than
+SEGMENT_ROWS rows is cut into segments of the axis at its own quantiles, STEPS at a time until none has more, so no state
+holds more intervals than that however much of the data the entity owns; the segments are stitched together by their
 outermost bounds, one small row each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import lsn
+from tidemark.session import checkpointed, parallelism
 
 SEGMENT_ROWS = 200_000
-LEAVES, FAN_IN = 256, 16
+FAN_IN = 16
+#: Segments that one round of cuts makes of an entity at most.
+STEPS = 256
 
 
 def merge_sorted(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,20 +41,17 @@ def merge_sorted(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def merge_lists(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Linear merge of two sorted disjoint lists: every start's final place is its own rank plus its rank in the other."""
-    n, m = len(a[0]), len(b[0])
-    starts, ends = np.empty(n + m, np.int64), np.empty(n + m, np.int64)
-    at_a = np.arange(n) + np.searchsorted(b[0], a[0], "left")
-    at_b = np.arange(m) + np.searchsorted(a[0], b[0], "right")
-    starts[at_a], ends[at_a], starts[at_b], ends[at_b] = a[0], a[1], b[0], b[1]
-    return merge_sorted(starts, ends)
+    """Linear merge of two sorted disjoint lists: the stable sort finds two runs and merges them in one walk."""
+    starts, ends = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(starts, kind="stable")
+    return merge_sorted(starts[order], ends[order])
 
 
-def _leaf(keys: int, flush: int):
+def _leaf(keys: int, flush: int, leaves: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, list] = {}
         held = 0
-        task = _task_id()
+        task = _task_id(leaves)
 
         def out():
             rows = [(k, *s[0]) for k, s in ((k, _reduced(s)) for k, s in states.items())]
@@ -91,11 +93,29 @@ def _reduced(parts: list) -> list:
     return parts
 
 
-def _task_id() -> int:
+def _task_id(leaves: int) -> int:
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    return context.partitionId() % LEAVES if context else 0
+    return context.partitionId() % leaves if context else 0
+
+
+def leaf_count(df: DataFrame) -> int:
+    """About as many as the tasks that will read df, from the planner's estimate of its bytes, eight times over since that
+    counts the columns in use only; at least one a core and a shuffle partition."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = 8 * size // (128 << 20)
+    return int(min(max(spark.sparkContext.defaultParallelism, parallelism(spark), by_size), 1 << 20))
+
+
+def tree_slots(leaves: int, fan_in: int = FAN_IN) -> list[int]:
+    """Slots of each level above the leaves, down to one; a slot takes fan_in slots of the level below at most."""
+    found = []
+    while leaves > 1 or not found:
+        leaves = -(-leaves // fan_in)
+        found.append(leaves)
+    return found
 
 
 def _state_batch(keys: list[pa.Array], starts: list[np.ndarray], ends: list[np.ndarray], slots: list[int]) -> pa.RecordBatch:
@@ -131,39 +151,50 @@ def continuous_periods(df: DataFrame, entity: Sequence[str], start: str, end: st
     """entity, `segment`, `starts`, `ends`: sorted disjoint long intervals [start, end) of each segment of each entity.
 
     Overlapping and touching intervals are one. Rows with a null bound, or that do not end after they start, cover
-    nothing; a null entity is an entity of its own. An entity within segment_rows rows has the single segment 0.
+    nothing; a null entity is an entity of its own. An entity within segment_rows rows has the single segment 0. One job
+    finds the rows of the largest entity while the plan is made; beyond about STEPS segments an entity, each further round
+    of cuts starts from a checkpoint.
     """
     names = [f"k{i}" for i in range(len(entity))]
     rows = df.select(*[df[c].alias(n) for c, n in zip(entity, names, strict=True)], df[start].alias("s"), df[end].alias("e")).filter("s IS NOT NULL AND e IS NOT NULL AND e > s")
-    rows = _segmented(rows, names, segment_rows)
+    leaves = leaf_count(rows)
+    largest = rows.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
+    rows = rows.withColumn("seg", F.lit(0).cast("long"))
+    rounds = 0
+    while largest > segment_rows:
+        # a further round looks at the rows several times, so the round before it is made once
+        rows = _segmented(checkpointed(rows) if rounds else rows, [*names, "seg"], segment_rows)
+        largest = math.ceil(largest / (STEPS // 2))  # quantiles are approximate
+        rounds += 1
     schema = T.StructType([rows.schema[n] for n in names] + [T.StructField("seg", T.LongType())] + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends")] + [T.StructField("slot", T.LongType())])
     keyed = [*names, "seg"]
     renamed = lambda d: d.select(*[F.col(n).alias(f"k{i}") for i, n in enumerate(keyed)], *[n for n in d.columns if n not in keyed])
     kschema = T.StructType([T.StructField(f"k{i}", schema[n].dataType) for i, n in enumerate(keyed)] + schema.fields[len(keyed) :])
-    state = renamed(rows).mapInArrow(_leaf(len(keyed), 4 * segment_rows), kschema)
-    leaves = LEAVES
-    while leaves > 1:
-        leaves = -(-leaves // fan_in)
-        slot = F.floor(F.col("slot") / fan_in) if leaves > 1 else F.lit(0).cast("long")
+    state = renamed(rows).mapInArrow(_leaf(len(keyed), 4 * segment_rows, leaves), kschema)
+    for slots in tree_slots(leaves, fan_in):
+        slot = F.floor(F.col("slot") / fan_in) if slots > 1 else F.lit(0).cast("long")
         state = state.withColumn("slot", slot).groupBy(*[f"k{i}" for i in range(len(keyed))], "slot").applyInArrow(_combine(len(keyed)), kschema)
     return state.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate([*entity, "segment"])], "starts", "ends")
 
 
 def _segmented(rows: DataFrame, names: list[str], segment_rows: int) -> DataFrame:
-    """Adds `seg`; an interval that crosses a cut is split there, so each piece lies in one segment."""
-    steps = 256
-    sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("s", [i / steps for i in range(1, steps)], 2000).alias("q"))
-    large = sizes.filter(F.col("n") > segment_rows)
-    stride = F.greatest(F.lit(1), F.floor(steps * segment_rows / F.col("n")).cast("int"))
-    cuts = large.select(*[F.col(n).alias(f"h_{n}") for n in names], F.array_sort(F.array_distinct(F.filter("q", lambda x, i: (i + 1) % stride == 0))).alias("cuts"))
-    on = [F.col(n).eqNullSafe(F.col(f"h_{n}")) for n in names]
-    joined = rows.join(cuts, on, "left").drop(*[f"h_{n}" for n in names])
+    """Cuts every (entity, seg) of more than segment_rows rows into up to STEPS new segments; an interval that crosses a
+    cut is split there, so each piece lies in one segment. Only the rows of such entities are looked at for cuts."""
+    large = rows.groupBy(*[F.col(n).alias(f"h_{n}") for n in names]).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > segment_rows)
+    on = lambda d: [F.col(n).eqNullSafe(d[f"h_{n}"]) for n in names]
+    of_large = rows.join(large, on(large)).groupBy(*[f"h_{n}" for n in names])
+    cuts = of_large.agg(F.first("n").alias("n"), F.percentile_approx("s", [i / STEPS for i in range(1, STEPS)], 10 * STEPS).alias("q"))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(STEPS * segment_rows) / F.col("n")).cast("int"))
+    cuts = cuts.select(*[f"h_{n}" for n in names], F.array_sort(F.array_distinct(F.filter("q", lambda x, i: (i + 1) % stride == 0))).alias("cuts"))
+    joined = rows.join(cuts, on(cuts), "left").drop(*[f"h_{n}" for n in names])
     inside = F.filter("cuts", lambda c: (c > F.col("s")) & (c < F.col("e")))
     below = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("s"))), F.lit(0))
     bounds = F.concat(F.array("s"), F.coalesce(inside, F.array().cast("array<bigint>")), F.array("e"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.struct(F.get(bounds, i).alias("s"), F.get(bounds, i + 1).alias("e"), (below + i).cast("long").alias("seg")))
-    whole = F.array(F.struct("s", "e", F.lit(0).cast("long").alias("seg")))
-    return joined.select(*names, F.explode(F.when(F.col("cuts").isNull(), whole).otherwise(pieces)).alias("p")).select(*names, "p.seg", "p.s", "p.e")
+    base = F.col("seg") * STEPS
+    pieces = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.struct(F.get(bounds, i).alias("s"), F.get(bounds, i + 1).alias("e"), (base + below + i).cast("long").alias("seg")))
+    whole = F.array(F.struct("s", "e", base.cast("long").alias("seg")))
+    keep = [n for n in names if n != "seg"]
+    return joined.select(*keep, F.explode(F.when(F.col("cuts").isNull(), whole).otherwise(pieces)).alias("p")).select(*keep, "p.s", "p.e", "p.seg")
 
 
 def gaps(periods: DataFrame, entity: Sequence[str]) -> DataFrame:

@@ -1,16 +1,18 @@
 """What changed between consecutive full snapshots of a table.
 
 All snapshots of a series are range-partitioned by series and key, so that one range holds the same span of keys of
-every snapshot, and sorted by series, snapshot and key. A range then streams its snapshots past each other: the slice
-of the snapshot before is held, and a merge with two pointers walks it and the next slice once, comparing columns.
-A hot series spreads over many ranges because its keys do; memory is one slice of one snapshot in one range.
+every snapshot, and sorted by series, key and snapshot, which is the merge of the snapshots' sorted rows. Two pointers,
+at a row and at the row before it, walk that stream a batch at a time; columns are compared as arrays. A hot series
+spreads over many ranges because its keys do; a task holds one batch and two rows more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,90 +29,95 @@ def snapshot_order(rows: DataFrame, series: Sequence[str], snapshot: str, at: st
     return each.select(*series, snapshot, F.row_number().over(w).alias("ord"), F.lead(snapshot).over(w).alias("next"))
 
 
+def _flags(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.cast(pa.int8())).astype(bool)
+
+
+def _differs(column: pa.Array, at: np.ndarray, loose: bool = False) -> np.ndarray:
+    """Whether the value at each place of `at` but the first differs from that at the place before; nulls are equal, or
+    with `loose` equal to everything."""
+    held = column.take(pa.array(at))
+    a, b = held.slice(0, len(held) - 1), held.slice(1)
+    different = _flags(pc.fill_null(pc.not_equal(a, b), False))
+    if not loose and held.null_count:
+        different |= _flags(pc.is_null(a)) != _flags(pc.is_null(b))
+    return different
+
+
+def _changes(snapshots: pa.Array, keys: pa.Array, change: str, which: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    if len(keys):
+        lists = pa.nulls(len(keys), pa.list_(pa.int32())) if which is None else which
+        yield pa.RecordBatch.from_arrays([snapshots, keys.cast(pa.string()), pa.array([change] * len(keys), pa.string()), lists], names=["snapshot", "key", "change", "which"])
+
+
 def _walk(n_series: int, n_fields: int, loose: frozenset[int]):
-    """loose: fields in which a null differs from nothing."""
-    fields = range(n_fields)
-
-    def changed(a: tuple, b: tuple) -> list[int]:
-        return [i for i in fields if a[i] != b[i] and not (i in loose and (a[i] is None or b[i] is None))]
-
-    def merge(left: list, right: list) -> Iterator[tuple]:
-        """left, right: (key, fields, own snapshot, next snapshot) of one range of two neighbours, sorted by key."""
-        i = j = 0
-        n, m = len(left), len(right)
-        while i < n and j < m:
-            a, b = left[i], right[j]
-            if a[0] == b[0]:
-                if a[1] != b[1] and (which := changed(a[1], b[1])):
-                    yield b[2], b[0], "changed", which
-                i += 1
-                j += 1
-            elif a[0] < b[0]:
-                yield a[3], a[0], "removed", None
-                i += 1
-            else:
-                yield b[2], b[0], "added", None
-                j += 1
-        for a in left[i:]:
-            yield a[3], a[0], "removed", None
-        for b in right[j:]:
-            yield b[2], b[0], "added", None
-
-    def between(before: tuple | None, left: list, now: tuple | None, right: list) -> Iterator[tuple]:
-        """Neighbouring slices are merged; a slice without its neighbour here was removed or added as a whole."""
-        if before and now and before[0] == now[0] and before[1] + 1 == now[1]:
-            yield from merge(left, right)
-            return
-        if left and left[0][3] is not None:
-            yield from merge(left, [])
-        if right and now[1] > 1:
-            yield from merge([], right)
+    """Over rows of series, ord, snapshot, next snapshot, key and fields, sorted by series, key, ord and age. loose:
+    fields in which a null differs from nothing."""
+
+    def step(rows: pa.RecordBatch, kept: np.ndarray, same: np.ndarray, begins: bool, ends: bool) -> Iterator[pa.RecordBatch]:
+        """Changes between neighbours of the kept rows, of the first if it begins the stream and after the last if it
+        ends it. same: whether each row but the first has the series and key of the one before."""
+        place = np.asarray(rows.column(n_series))
+        take = lambda c, i: rows.column(n_series + c).take(pa.array(i))
+        before, now = kept[:-1], kept[1:]
+        next_to = same[before] & (place[now] == place[before] + 1)
+        gone, new = before[~next_to], now[~next_to]
+        if begins:
+            new = np.append(kept[:1], new)
+        if ends:
+            gone = np.append(gone, kept[-1:])
+        gone = gone[_flags(pc.is_valid(take(2, gone)))]
+        new = new[place[new] > 1]
+        yield from _changes(take(2, gone), take(3, gone), "removed")
+        yield from _changes(take(1, new), take(3, new), "added")
+        if n_fields and len(now):
+            differ = np.stack([_differs(rows.column(n_series + 4 + f), kept, f in loose) for f in range(n_fields)]) & next_to
+            at = np.flatnonzero(differ.any(axis=0))
+            offsets = np.concatenate([[0], np.cumsum(differ[:, at].sum(axis=0))])
+            which = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.nonzero(differ[:, at].T)[1].astype(np.int32)))
+            yield from _changes(take(1, now[at]), take(3, now[at]), "changed", which)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now, left, right, out = None, None, [], [], []
+        begins, held = True, None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            tags = zip(zip(*columns[:n_series], strict=True) if n_series else iter(()), columns[n_series], strict=True)
-            snaps, nexts, keys = columns[n_series + 1 : n_series + 4]
-            for tag, snap, following, key, row in zip(tags, snaps, nexts, keys, zip(*columns[n_series + 4 :], strict=True), strict=True):
-                if tag != now:
-                    out.extend(between(before, left, now, right))
-                    before, left, now, right = now, right, tag, []
-                if right and right[-1][0] == key:
-                    right[-1] = (key, row, snap, following)  # rows come oldest first: the latest holds
-                else:
-                    right.append((key, row, snap, following))
-            if len(out) > 20_000:
-                yield _changes(out)
-                out = []
-        out.extend(between(before, left, now, right))
-        out.extend(between(now, right, None, []))
-        if out:
-            yield _changes(out)
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held else batch
+            every = np.arange(rows.num_rows)
+            same = ~np.logical_or.reduce([_differs(c, every) for c in (*rows.columns[:n_series], rows.column(n_series + 3))])
+            place = np.asarray(rows.column(n_series))
+            # rows of a key and snapshot come oldest first, so the latest holds; a row may come after the last one yet
+            kept = np.flatnonzero(np.append(~same | (place[1:] != place[:-1]), True))
+            if len(kept) > 1:
+                yield from step(rows, kept[:-1], same, begins, False)
+                begins = False
+            held = rows.take(pa.array(kept[-2:]))
+        if held:
+            every = np.arange(held.num_rows)
+            same = ~np.logical_or.reduce([_differs(c, every) for c in (*held.columns[:n_series], held.column(n_series + 3))])
+            yield from step(held, every, same, begins, True)
 
     return walk
 
 
-def _changes(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, c, d = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array([k.decode("utf-8") for k in b], pa.string()), pa.array(c, pa.string()), pa.array(d, pa.list_(pa.int32()))], names=["snapshot", "key", "change", "which"])
-
-
 def snapshot_changes(rows: DataFrame, series: Sequence[str], snapshot: str, at: str, key: Column, fields: dict[str, Column], recorded: str, loose: Sequence[str] = ()) -> DataFrame:
     """snapshot, key, change (added, removed, changed) and, for changed, the `fields` that differ.
 
     For each snapshot but the first of its series, against the one before. Of several rows of a key in one snapshot the
     latest `recorded` holds, ties settled by the greater fields. A field in `loose` does not differ from a null.
-    Null keys and null snapshots are left out; null series form a series of their own; a table with one snapshot a
-    series, or none, has no changes. The columns of `rows` may bear any names.
+    Null keys and null snapshots are left out, but a snapshot of null keys only is one that lists nothing; null series
+    form a series of their own; a table with one snapshot a series, or none, has no changes. The columns of `rows` may
+    bear any names.
     """
     names = [f"s{i}" for i in range(len(series))]
-    base = rows.select(*[F.col(c).alias(n) for c, n in zip(series, names, strict=True)], F.col(snapshot).alias("snap"), F.col(at).alias("at"), F.encode(key, "utf-8").alias("key"), F.col(recorded).alias("rec"), *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]).filter("key IS NOT NULL AND snap IS NOT NULL")
-    order = snapshot_order(base, names, "snap", "at", "rec").select(*[F.col(n).alias(f"o_{n}") for n in names], F.col("snap").alias("o_snap"), "ord", "next")
+    own = [F.col(c).alias(n) for c, n in zip(series, names, strict=True)]
+    times = rows.select(*own, F.col(snapshot).alias("snap"), F.col(at).alias("at"), F.col(recorded).alias("rec")).filter("snap IS NOT NULL")
+    order = snapshot_order(times, names, "snap", "at", "rec").select(*[F.col(n).alias(f"o_{n}") for n in names], F.col("snap").alias("o_snap"), "ord", "next")
     on = [F.col("snap") == F.col("o_snap"), *[F.col(n).eqNullSafe(F.col(f"o_{n}")) for n in names]]
-    placed = base.drop("at").join(order, on).drop("o_snap", *[f"o_{n}" for n in names])
-    ranged = placed.repartitionByRange(*names, "key").sortWithinPartitions(*names, "ord", "key", "rec", *[f"f{i}" for i in range(len(fields))])
-    slim = ranged.select(*names, "ord", "snap", "next", "key", *[f"f{i}" for i in range(len(fields))])
+    base = rows.select(*own, F.col(snapshot).cast("string").alias("snap"), F.encode(key, "utf-8").alias("key"), F.col(recorded).alias("rec"), *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]).filter("key IS NOT NULL AND snap IS NOT NULL")
+    placed = base.join(order, on).drop("o_snap", *[f"o_{n}" for n in names])
+    ranged = placed.repartitionByRange(*names, "key").sortWithinPartitions(*names, "key", "ord", "rec", *[f"f{i}" for i in range(len(fields))])
+    slim = ranged.select(*names, "ord", "snap", F.col("next").cast("string").alias("next"), "key", *[f"f{i}" for i in range(len(fields))])
     kinds = "snapshot string, key string, change string, which array<int>"
     walk = _walk(len(names), len(fields), frozenset(i for i, f in enumerate(fields) if f in loose))
     found = slim.mapInArrow(walk, kinds)
@@ -129,5 +136,5 @@ def entry_changes(entries: DataFrame) -> DataFrame:
     value = known(F.col("value"))
     value = F.when(value.rlike("^[0-9A-Fa-f]+$"), F.lower(value)).otherwise(value)
     fields = {"type": F.col("type"), "value": packed_hex(value), "mode": F.col("mode").bitwiseAND(4095), "target": known(F.col("target"))}
-    found = snapshot_changes(entries, ["surface_id", "root"], "snapshot_id", "created_at", path, fields, "recorded_at", ["mode"])
+    found = snapshot_changes(entries.filter("path IS NOT NULL"), ["surface_id", "root"], "snapshot_id", "created_at", path, fields, "recorded_at", ["mode"])
     return found.select(F.col("snapshot").alias("snapshot_id"), F.col("key").alias("path"), "change", "fields")
