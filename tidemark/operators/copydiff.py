@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import percent_decoded
+from tidemark.session import checkpointed
 
 
 def compare_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str], newest: Sequence[str] = (), carry: Sequence[str] = (), both_known: bool = False) -> DataFrame:
@@ -23,30 +24,39 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], field
     settled by the fields. carry: kept in the structs, not compared. `changes` lists struct(field, left, right) as
     text. Repeated rows count once, empty sides make every row of the other missing, other columns are dropped.
     """
+    used = [*dict.fromkeys([*keys, *fields, *carry, *newest])]
+    names = {c: f"c{i}" for i, c in enumerate(used)}
+    tagged = lambda df, left: df.select(*[df[c].alias(n) for c, n in names.items()], F.lit(left).alias("left"))
+    of = lambda cs: [names[c] for c in cs]
+    both = tagged(left, True).unionByName(tagged(right, False))
+    shown = {n: c for c, n in names.items()}
+    return compare_sides(both, "left", of(keys), of(fields), of(newest), of(carry), both_known, shown)
+
+
+def compare_sides(both: DataFrame, left: str, keys: Sequence[str], fields: Sequence[str], newest: Sequence[str] = (), carry: Sequence[str] = (), both_known: bool = False, shown: dict[str, str] | None = None) -> DataFrame:
+    """compare_copies of rows that are united already, those of the left side being tagged `left`. shown: names of the
+    columns in the result, where they are others."""
     inner = [*dict.fromkeys([*fields, *carry])]
-
-    def tagged(df: DataFrame, side: int) -> DataFrame:
-        row = F.struct(*[df[c].alias(f"v{i}") for i, c in enumerate(inner)])
-        order = F.struct(*[df[c].alias(f"o{i}") for i, c in enumerate(newest)], row.alias("tie")) if newest else row
-        return df.select(*[df[k].alias(f"k{i}") for i, k in enumerate(keys)], F.lit(side).alias("side"), order.alias("ord"))
-
-    both = tagged(left, 0).unionByName(tagged(right, 1))
-    of = lambda s: F.max(F.when(F.col("side") == s, F.col("ord")))
-    grouped = both.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(of(0).alias("l"), of(1).alias("r"))
+    shown = {c: c for c in (*keys, *inner)} | (shown or {})
+    row = F.struct(*[both[c].alias(f"v{i}") for i, c in enumerate(inner)])
+    order = F.struct(*[both[c].alias(f"o{i}") for i, c in enumerate(newest)], row.alias("tie")) if newest else row
+    sided = both.select(*[both[k].alias(f"k{i}") for i, k in enumerate(keys)], both[left].alias("side"), order.alias("ord"))
+    of = lambda side: F.max(F.when(side, F.col("ord")))
+    grouped = sided.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(of(F.col("side")).alias("l"), of(~F.col("side")).alias("r"))
     body = (lambda c: c["tie"]) if newest else (lambda c: c)
     lrow, rrow = body(F.col("l")), body(F.col("r"))
 
     def cell(i: int, name: str) -> Column:
         a, b = lrow[f"v{i}"], rrow[f"v{i}"]
         differs = ((a != b) & a.isNotNull() & b.isNotNull()) if both_known else ~a.eqNullSafe(b)
-        return F.struct(F.lit(name).alias("field"), a.cast("string").alias("left"), b.cast("string").alias("right"), F.coalesce(differs, F.lit(False)).alias("differs"))
+        return F.struct(F.lit(shown[name]).alias("field"), a.cast("string").alias("left"), b.cast("string").alias("right"), F.coalesce(differs, F.lit(False)).alias("differs"))
 
     found = F.filter(F.array(*[cell(i, f) for i, f in enumerate(inner) if f in fields]), lambda x: x["differs"])
     changes = F.transform(found, lambda x: F.struct(x["field"].alias("field"), x["left"].alias("left"), x["right"].alias("right")))
     there = F.col("l").isNotNull() & F.col("r").isNotNull()
-    named = lambda row, side: F.when(F.col(side).isNotNull(), F.struct(*[row[f"v{i}"].alias(c) for i, c in enumerate(inner)]))
+    named = lambda row, side: F.when(F.col(side).isNotNull(), F.struct(*[row[f"v{i}"].alias(shown[c]) for i, c in enumerate(inner)]))
     compared = grouped.select(
-        *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)],
+        *[F.col(f"k{i}").alias(shown[k]) for i, k in enumerate(keys)],
         F.col("l").isNull().alias("missing_left"),
         F.col("r").isNull().alias("missing_right"),
         F.when(there, changes).otherwise(F.array().cast("array<struct<field:string,left:string,right:string>>")).alias("changes"),
@@ -73,8 +83,10 @@ def store_differences(objects: DataFrame, copy_results: DataFrame, first: str =
     size. An unknown size differs from nothing. An object modified after the lacking store's last listing of the epoch
     is not missing; one with no modification time is. Claims of null are passed over; ties of finished_at are settled
     for `true`. Null names or epochs are compared with nothing.
+
+    The listings are read twice, once for the times of the last listings only. The differences are checkpointed, as
+    both the answer and the claims need them.
     """
-    named = object_names(objects)
     claims = copy_results.filter("name IS NOT NULL AND epoch_id IS NOT NULL").groupBy(F.col("name").alias("store"), "epoch_id")
     claims = claims.agg(F.max(F.when(F.col("behind").isNotNull(), F.struct("finished_at", "behind")))["behind"].alias("behind"))
     claims = claims.filter(F.col("store") != first)
@@ -83,18 +95,22 @@ def store_differences(objects: DataFrame, copy_results: DataFrame, first: str =
     pairs = claims.join(listed, (F.col("store") == F.col("s")) & (F.col("epoch_id") == F.col("e")), "left").drop("s", "e")
     pairs = pairs.join(in_first, F.col("epoch_id") == F.col("e"), "left").drop("e")
 
-    mentioned = claims.select("store", "epoch_id")
-    ours = named.filter(F.col("store") == first).drop("store").join(mentioned, "epoch_id")
-    theirs = named.filter(F.col("store") != first)
-    diffs = compare_copies(ours, theirs, ["store", "epoch_id", "name"], ["size"], ["listed_at", "modified"], ["modified"], both_known=True)
-    state = F.struct("name", F.when(F.col("missing_right"), "missing_in_copy").when(F.col("missing_left"), "missing_in_first").otherwise("size").alias("diff"), F.coalesce(F.col("left_row.modified"), F.col("right_row.modified")).alias("modified"))
-
-    # A mentioned pair without any difference is needed as well, for its claim.
-    rows = diffs.select("store", "epoch_id", state.alias("d")).join(pairs, ["store", "epoch_id"])
-    lacks = F.when(F.col("d.diff") == "missing_in_copy", F.col("last")).when(F.col("d.diff") == "missing_in_first", F.col("first_last"))
-    young = (F.col("d.diff") != "size") & lacks.isNotNull() & (F.col("d.modified") > lacks)
-    rows = rows.filter(~F.coalesce(young, F.lit(False))).select("store", "epoch_id", F.col("d.name").alias("name"), F.col("d.diff").alias("diff"))
+    # one pass of the listings: a row of the first store stands once for each copy of its epoch, others for themselves
+    copies = claims.groupBy(F.col("epoch_id").alias("e")).agg(F.collect_set("store").alias("copies"))
+    named = object_names(objects).join(copies, F.col("epoch_id") == F.col("e")).drop("e")
+    at_first = F.col("store") == first
+    own = F.filter("copies", lambda c: c == F.col("store"))
+    tagged = named.select(at_first.alias("left"), F.explode(F.when(at_first, F.col("copies")).otherwise(own)).alias("store"), "epoch_id", "name", "size", "modified", "listed_at")
+    diffs = compare_sides(tagged, "left", ["store", "epoch_id", "name"], ["size"], ["listed_at", "modified"], ["modified"], both_known=True)
+
+    kind = F.when(F.col("missing_right"), "missing_in_copy").when(F.col("missing_left"), "missing_in_first").otherwise("size")
+    state = diffs.select("store", "epoch_id", "name", kind.alias("diff"), F.coalesce(F.col("left_row.modified"), F.col("right_row.modified")).alias("modified"))
+    lacks = F.when(F.col("diff") == "missing_in_copy", F.col("last")).when(F.col("diff") == "missing_in_first", F.col("first_last"))
+    young = (F.col("diff") != "size") & lacks.isNotNull() & (F.col("modified") > lacks)
+    rows = state.join(pairs, ["store", "epoch_id"]).filter(~F.coalesce(young, F.lit(False))).select("store", "epoch_id", "name", "diff")
+    rows = checkpointed(rows)
 
     short = rows.filter(F.col("diff") == "missing_in_copy").groupBy("store", "epoch_id").agg(F.lit(True).alias("short"))
-    wrong = pairs.join(short, ["store", "epoch_id"], "left").filter(F.col("behind") != F.coalesce(F.col("short"), F.lit(False)))
+    # a mentioned pair without any difference is needed as well, for its claim
+    wrong = claims.join(short, ["store", "epoch_id"], "left").filter(F.col("behind") != F.coalesce(F.col("short"), F.lit(False)))
     return rows.unionByName(wrong.select("store", "epoch_id", F.lit("-").alias("name"), F.lit("behind").alias("diff")))
