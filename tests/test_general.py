@@ -270,6 +270,25 @@ def test_orphans_match_a_loop(spark, monkeypatch, hot):
     assert orphans.orphan_references(r.limit(0), "ref", "seen", ["row"], p, "id", "at").count() == 0
 
 
+def test_any_number_of_hot_keys_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "HOT_ROWS", 1)
+    refs = spark.range(40_000).selectExpr("concat('r', id) AS row", "format_string('%04x', id % 9) AS ref", "current_timestamp() AS seen")
+    child = refs.select(orphans._range_key(F.col("ref")).alias("key"))
+    assert len(orphans._hot_keys(child, 8)) == 9
+    parents = spark.createDataFrame([("0003",)], "id string").withColumn("at", F.lit("2020-01-01").cast("timestamp"))
+    assert orphans.orphan_references(refs, "ref", "seen", ["row"], parents, "id", "at").groupBy("reason").count().collect()[0][1] == 40_000 - len(range(3, 40_000, 9))
+
+
+def test_keys_are_read_from_buffers():
+    import numpy as np
+    import pyarrow as pa
+
+    values = [b"ab\x01", b"", b"\x00\x00c", b"long" * 9]
+    column = pa.array([b"before", *values, b"after"], pa.binary()).slice(1, 4)
+    assert orphans._fixed(column).tolist() == np.array(values, "S").tolist()
+    assert len(orphans._fixed(pa.array([], pa.binary()))) == 0
+
+
 def test_percent_decoding(spark):
     texts = ["a%20b", "100%", "%C3%A9%2f", "a+b", "%zz%41", "", "plain"]
     df = spark.createDataFrame([(x,) for x in texts], "t string")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import lsn
-from tidemark.session import checkpointed, parallelism
+from tidemark.session import checkpointed, scan_tasks
 
 SEGMENT_ROWS = 200_000
 FAN_IN = 16
@@ -100,15 +100,6 @@ def _task_id(leaves: int) -> int:
     return context.partitionId() % leaves if context else 0
 
 
-def leaf_count(df: DataFrame) -> int:
-    """About as many as the tasks that will read df, from the planner's estimate of its bytes, eight times over since that
-    counts the columns in use only; at least one a core and a shuffle partition."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    by_size = 8 * size // (128 << 20)
-    return int(min(max(spark.sparkContext.defaultParallelism, parallelism(spark), by_size), 1 << 20))
-
-
 def tree_slots(leaves: int, fan_in: int = FAN_IN) -> list[int]:
     """Slots of each level above the leaves, down to one; a slot takes fan_in slots of the level below at most."""
     found = []
@@ -157,7 +148,7 @@ def continuous_periods(df: DataFrame, entity: Sequence[str], start: str, end: st
     """
     names = [f"k{i}" for i in range(len(entity))]
     rows = df.select(*[df[c].alias(n) for c, n in zip(entity, names, strict=True)], df[start].alias("s"), df[end].alias("e")).filter("s IS NOT NULL AND e IS NOT NULL AND e > s")
-    leaves = leaf_count(rows)
+    leaves = scan_tasks(rows)
     largest = rows.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
     rows = rows.withColumn("seg", F.lit(0).cast("long"))
     rounds = 0

@@ -1,9 +1,9 @@
 """References to records that do not exist, are deleted, or came later than the reference.
 
-Parents and references are range-partitioned together by key. In a range the parents come first, as one sorted array;
-the references then stream past in batches, each probed by one vectorised binary search, and only misses leave the
-range. A key that many rows refer to is salted: its references spread over several ranges and its parent, one row by
-then, is repeated in each.
+Parents and references are partitioned together by ranges of their keys' hash, whose bounds are known without a look at
+the data. In a range the parents come first, as one sorted array; the references then stream past in batches, each probed
+by one vectorised binary search, and only misses leave the range. A key that many rows refer to is salted: its references
+spread over several ranges and its parent, one row by then, is repeated in each.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.ids import hex_id, packed_hex, unpacked_hex
-from tidemark.session import parallelism
+from tidemark.session import parallelism, scan_tasks
 
 LONGEST = 128
 #: Keys with fewer references than this are never salted.
@@ -35,7 +35,18 @@ def _range_key(c: Column) -> Column:
 
 
 def _fixed(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.to_numpy(zero_copy_only=False), dtype=f"S{LONGEST + 2}") if len(column) == 0 else np.array(column.to_pylist(), dtype="S")
+    """Binary values as an array of fixed width, read from the column's buffers."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    lengths = np.diff(edges)
+    width = max(1, int(lengths.max(initial=1)))
+    table = np.zeros((n, width), np.uint8)
+    if n:
+        data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        row = np.repeat(np.arange(n), lengths)
+        table[row, np.arange(len(data)) - np.repeat(edges[:-1] - edges[0], lengths)] = data
+    return table.view(f"S{width}").reshape(n)
 
 
 def _probe(out_columns: Sequence[str]):
@@ -79,7 +90,8 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_at: str, keep: Sequence[
 
     Ids match without case and surrounding blanks; null and empty ids refer to nothing and are no parents. A parent is
     deleted if each of its rows has deleted_at, else late if its earliest time is after the reference's; an unknown
-    time is never late. Without parents every reference is missing. Repeated rows come out once.
+    time is never late. Without parents every reference is missing. Repeated rows come out once. One job over the ids of
+    the references finds the hot ones while the plan is made.
     """
     spark = refs.sparkSession
     ids = hex_id(F.col(ref_id))
@@ -91,16 +103,20 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_at: str, keep: Sequence[
     known = parents.select(hex_id(F.col(parent_id)).alias("id"), micros(parent_at).alias("at"), gone.alias("gone")).filter("id IS NOT NULL")
     known = known.groupBy(_range_key(F.col("id")).alias("key")).agg(F.min("at").alias("at"), F.bool_and("gone").alias("gone"))
 
-    ways = parallelism(spark)
+    ways = min(parallelism(spark), scan_tasks(child))
     salts = _hot_keys(child, ways)
     if salts:
-        many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), F.hex("key")), F.lit(1))
-        child = child.withColumn("salt", F.pmod(F.xxhash64(*names, "at"), many).cast("int"))
-        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
+        # at most 4 rows a range, see _hot_keys
+        many = F.broadcast(spark.createDataFrame(list(salts.items()), "hot string, many int"))
+        salted = lambda d: d.join(many, F.hex("key") == F.col("hot"), "left").drop("hot")
+        child = salted(child).withColumn("salt", F.pmod(F.xxhash64(*names, "at"), F.coalesce("many", F.lit(1))).cast("int")).drop("many")
+        known = salted(known).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1))).drop("many")
     else:
         child, known = child.withColumn("salt", F.lit(0)), known.withColumn("salt", F.lit(0))
     both = known.withColumn("kind", F.lit(0)).unionByName(child.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    ranged = both.repartitionByRange("key", "salt").sortWithinPartitions("kind", "key")
+    # the upper 31 bits of the hash, cut into `ways` ranges of the same width; salts go to the ranges that follow
+    part = F.shiftright(F.shiftrightunsigned(F.xxhash64("key"), 33) * ways, 31)
+    ranged = both.repartitionById(ways, F.pmod(part + F.col("salt"), ways).cast("int")).sortWithinPartitions("kind", F.when(F.col("kind") == 0, F.col("key")))
     columns = [*names, "key", "long_id"]
     schema = T.StructType([ranged.schema[c] for c in columns] + [T.StructField("reason", T.StringType())])
     found = ranged.select("kind", "at", "gone", *columns).mapInArrow(_probe(columns), schema)
@@ -108,10 +124,15 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_at: str, keep: Sequence[
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], text.alias("missing_id"), "reason").distinct()
 
 
-def _hot_keys(child: DataFrame, ways: int, items: int = 64) -> dict[str, int]:
-    """Salts of keys that hold more than a quarter of an even share; at most `items`, found by one mergeable sketch."""
-    top = child.agg(F.expr(f"approx_top_k(hex(key), {items}, {items * 64})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    if not top["n"]:
+def _hot_keys(child: DataFrame, ways: int) -> dict[str, int]:
+    """Salts of the keys that hold more than a quarter of an even share of the references, of which there are fewer than
+    4 `ways`: mergeable sketches of frequent keys, combined in two steps, name them all."""
+    items = 4 * ways
+    tracked = min(16 * items, 1_000_000)
+    first = child.groupBy(F.pmod(F.spark_partition_id(), F.lit(64))).agg(F.expr(f"approx_top_k_accumulate(hex(key), {tracked})").alias("sketch"), F.count(F.lit(1)).alias("n"))
+    combined = first.groupBy(F.col("n") < 0).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {items})").alias("top"), F.sum("n").alias("n"))
+    top = combined.first()
+    if top is None:
         return {}
     share = top["n"] / ways
     return {r["item"]: min(ways, 1 + math.ceil(r["count"] / share * 2)) for r in top["top"] if r["count"] > max(share / 4, HOT_ROWS)}

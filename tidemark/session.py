@@ -41,6 +41,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a plan's bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """About as many as the tasks that read df, and two a core at least: one for 16 MB of the columns in use."""
+    return int(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df) // (16 << 20)), 1 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,5 +65,4 @@ def spread(df: DataFrame) -> DataFrame:
     are dealt out anew, so the shuffle is bounded; larger ones keep the tasks of their scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and size < cores * SMALL_SHARE else df
+    return df.repartition(cores) if cores > 1 and estimated_bytes(df) < cores * SMALL_SHARE else df
