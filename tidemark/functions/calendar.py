@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -193,3 +194,24 @@ def blackout_end(at: Column, windows: list[tuple[int, int]]) -> Column:
         stop = F.timestamp_micros(F.unix_micros(start.cast("timestamp")) + (m - since + length).cast("long") * F.lit(60_000_000).cast("long"))
         end = F.when(since < length, stop).otherwise(end)
     return end
+
+
+def next_run(at: Column, schedule: str) -> Column:
+    """The first moment of a schedule after each moment, as a timestamp without zone; each distinct minute of a batch is
+    looked up once."""
+    cron = Cron(schedule)
+
+    @F.pandas_udf("timestamp_ntz")
+    def following(moments: pd.Series) -> pd.Series:
+        minutes = pd.to_datetime(moments).dt.floor("min")
+        found = {m: cron.next(pd.Timestamp(m).to_pydatetime()) for m in minutes.dropna().unique()}
+        return pd.to_datetime(minutes.map(found))
+
+    return following(at.cast("timestamp_ntz"))
+
+
+def blackout_minutes(windows: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
+    """by, minutes, windows: total length of windows given by their minutes of the day; one that ends before it starts
+    passes midnight, one that ends where it starts is empty."""
+    length = F.pmod(F.col(end) - F.col(start), F.lit(1440)).cast("long")
+    return windows.groupBy(*by).agg(F.sum(length).alias("minutes"), F.count(F.lit(1)).alias("windows"))

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 #: Rules of destructive commands, in order; the first that matches names the command.
 DESTRUCTIVE = (
-    ("delete_files", r"(?i)\brm\s+-[a-z]*r[a-z]*f|\brm\s+-[a-z]*f[a-z]*r"),
-    ("drop", r"(?i)\bdrop\s+(database|schema|table|collection|index)\b"),
-    ("truncate", r"(?i)\btruncate\s+(table\s+)?[a-z]"),
-    ("delete_all", r"(?i)\bdelete\s+from\s+\w+\s*;?\s*$"),
-    ("format_disk", r"(?i)\bmkfs(\.\w+)?\b|\bdd\s+.*\bof=/dev/"),
-    ("force_push", r"(?i)\bgit\s+push\b.*(--force|-f)\b"),
+    ("SQL DROP", r"(?i)\bdrop\s+(table|database|schema|view|materialized\s+view|index|sequence|function|procedure|trigger|type|extension|owned|role|user|column)\b"),
+    ("SQL TRUNCATE", r"""(?i)\btruncate\s+(table\s+)?["'\w]"""),
+    ("SQL DELETE without WHERE", r"""(?i)\bdelete\s+from\s+[\w."]+\s*(;|$|["'])"""),
+    ("dropdb", r"(^|[\s;&|(])dropdb\s"),
+    ("terraform destroy", r"\b(terraform|tofu)\s+(.*\s)?destroy\b|\b(terraform|tofu)\s+apply\s+(.*\s)?-destroy\b"),
+    ("prisma migrate reset", r"\bprisma\s+migrate\s+reset\b"),
+    ("prisma db push --force-reset", r"\bprisma\s+db\s+push\b.*--force-reset\b"),
+    ("supabase db reset", r"\bsupabase\s+db\s+reset\b"),
+    ("rails db:drop / db:reset", r"\b(rails|rake)\s+(.*\s)?db:(drop|reset|schema:load|purge)\b"),
+    ("django flush", r"\bmanage\.py\s+(flush|reset_db)\b"),
 )
 
 

@@ -72,13 +72,57 @@ def paused(now: Column) -> Column:
     return F.coalesce(F.col("paused") & (F.col("paused_until").isNull() | (now < F.col("paused_until"))), F.lit(False))
 
 
-#: Words of a failure that mean that what is stored is damaged.
-DAMAGE = ("digest", "checksum", "corrupt", "truncated", "does not decrypt")
+#: What a drill's failure says when stored objects are damaged or missing.
+DAMAGE = ("does not authenticate", "is missing", "shorter than its index", "is in no index", "not found", "No such object", "does not parse")
 
 
-def damaged(message: Column, kind: Column, spared: Sequence[str] = ("check", "data")) -> Column:
-    """Whether a failure speaks of stored damage; kinds in `spared` do not."""
-    return F.coalesce(message.rlike("(?i)" + "|".join(map(re.escape, DAMAGE))) & ~kind.isin(*spared), F.lit(False))
+def damaged(name: Column, kind: Column, passed: Column, actual: Column, message: Column) -> Column:
+    """Whether an assertion of a drill speaks of stored damage: one that failed, and names damage or is the one of the
+    repository's integrity. Users' checks of commands and data, and a read that storage did not answer, do not."""
+    said = F.concat(F.coalesce(actual, F.lit("")), F.lit(" "), F.coalesce(message, F.lit("")))
+    marked = F.lit(False)
+    for words in DAMAGE:
+        marked |= F.contains(said, F.lit(words))
+    spared = passed | F.coalesce(kind.isin("check", "data"), F.lit(False)) | (name == "RepositoryRead")
+    return F.coalesce(~spared & ((name == "RepositoryIntegrity") | marked), F.lit(False))
+
+
+def stored_damage(assertions: DataFrame, report: Sequence[str], place: str) -> DataFrame:
+    """report, damage: what the first assertion that speaks of stored damage found, for each report that did not pass.
+
+    assertions: report, `place`, status of the report, name, kind, passed, actual and message.
+    """
+    bad = damaged(*(F.col(c) for c in ("name", "kind", "passed", "actual", "message"))) & (F.col("status") != "passed")
+    return assertions.filter(bad).groupBy(*report).agg(F.min_by(F.trim(F.coalesce("actual", F.lit(""))), place).alias("damage"))
+
+
+def role_findings(roles: DataFrame, tables: DataFrame) -> DataFrame:
+    """role, kind, message of what a role can do beyond reading (`role`) and of rows it does not see (`row_security`).
+
+    roles: role, super, create_role, create_db, bypass. tables: role, table_name, writes, hidden. A superuser is told
+    before what it can write, that before what it can create; up to three tables are named. A superuser and a role that
+    passes row security by see every row.
+    """
+    facts = tables.groupBy("role").agg(
+        F.array_sort(F.collect_set(F.when(F.col("writes"), F.col("table_name")))).alias("writable"),
+        F.array_sort(F.collect_set(F.when(F.col("hidden"), F.col("table_name")))).alias("unseen"),
+    )
+    none = F.array().cast("array<string>")
+    rows = roles.join(facts, "role", "left").withColumns({"writable": F.coalesce("writable", none), "unseen": F.coalesce("unseen", none)})
+    some = lambda c: F.concat(F.array_join(F.slice(c, 1, 3), ", "), F.when(F.size(c) > 3, F.concat(F.lit(" and "), (F.size(c) - 3).cast("string"), F.lit(" more"))).otherwise(""))
+    made = F.array_compact(F.array(F.when(F.col("create_role"), F.lit("create roles")), F.when(F.col("create_db"), F.lit("create databases"))))
+    extra = F.array_join(made, " and ")
+    enough = F.lit("; a read-only role is enough")
+    can_write = F.concat(F.col("role"), F.lit(" can write to "), F.size("writable").cast("string"), F.lit(" table(s) ("), some(F.col("writable")), F.lit(")"), F.when(F.size(made) > 0, F.concat(F.lit(" and "), extra)).otherwise(""), enough)
+    message = (
+        F.when(F.col("super"), F.concat(F.lit("connects as "), F.col("role"), F.lit(", a superuser"), enough))
+        .when(F.size("writable") > 0, can_write)
+        .when(F.size(made) > 0, F.concat(F.col("role"), F.lit(" writes to no table but can "), extra, enough))
+    )
+    unseen = F.concat(F.lit("row-level security hides rows of "), F.size("unseen").cast("string"), F.lit(" table(s) ("), some(F.col("unseen")), F.lit(") from "), F.col("role"))
+    hidden = F.when((F.size("unseen") > 0) & ~F.col("super") & ~F.col("bypass"), unseen)
+    found = F.array(F.struct(F.lit("role").alias("kind"), message.alias("message")), F.struct(F.lit("row_security").alias("kind"), hidden.alias("message")))
+    return rows.select("role", F.explode(found).alias("f")).select("role", "f.kind", "f.message").filter("message IS NOT NULL")
 
 
 def checksum_failures(lines: DataFrame, text: str = "line") -> DataFrame:

@@ -70,10 +70,17 @@ def carried(tables: DataFrame, refusals: dict[str, Column]) -> DataFrame:
 
 
 def collectable(changes: DataFrame, consumers: DataFrame, xid: str = "xid", seen: str = "snapshot") -> DataFrame:
-    """Changes that every consumer's snapshot has seen. Consumers are few: their snapshots go along as one row."""
-    limits = consumers.agg(F.collect_list(parse_snapshot(F.col(seen))).alias("_seen"))
-    joined = changes.crossJoin(F.broadcast(limits))  # one row
-    return joined.filter(F.forall("_seen", lambda s: ~visible_after(F.col(xid), s))).drop("_seen")
+    """Changes that every consumer's snapshot has seen; without consumers, all.
+
+    A change must be older than every snapshot's end, of which the least is one row, and must not have been under way
+    in any, which an anti-join asks of their ids however many consumers there are. A snapshot that does not read has seen nothing.
+    """
+    snaps = consumers.select(parse_snapshot(F.col(seen)).alias("s"))
+    unread = F.coalesce(F.max(F.col("s").isNull()), F.lit(False))
+    least = snaps.agg(F.when(unread, -1).otherwise(F.min("s.xmax")).alias("_least"))
+    under_way = snaps.select(F.col("s.xmin").alias("_xmin"), F.explode("s.xip").alias("_xip")).filter("_xip >= _xmin").select("_xip").distinct()
+    older = changes.crossJoin(F.broadcast(least)).filter(F.col("_least").isNull() | (F.col(xid) < F.col("_least"))).drop("_least")  # one row
+    return older.join(under_way, F.col(xid) == F.col("_xip"), "left_anti")
 
 
 def key_json(key: Sequence[str]) -> Column:

@@ -66,24 +66,32 @@ def version_islands(events: DataFrame, snapshots: DataFrame, series: Sequence[st
     events: series, ord, path, event (present, added, changed, deleted) and content. snapshots: series, ord, complete
     and the epoch. A deletion ends a run before it, and so does a complete snapshot that does not list the path; a delta
     that does not mention the path continues the run.
+
+    What a run needs of its snapshots is looked up by (series, ord): the next complete one, the newest, and how often the
+    epoch had changed. Only in a series that goes back to an earlier epoch are the epochs of a run told apart one by one.
     """
     key = [*series, path]
-    full = snapshots.filter("complete").groupBy(*series).agg(F.array_sort(F.collect_set("ord")).alias("full"))
-    span = snapshots.groupBy(*series).agg(F.max("ord").alias("newest"), F.map_from_entries(F.collect_set(F.struct("ord", epoch))).alias("epoch_of"))
+    each = Window.partitionBy(*series)
+    up = each.orderBy("ord")
+    moved = ~F.coalesce(F.lag(epoch).over(up).eqNullSafe(F.col(epoch)), F.lit(False))
+    places = snapshots.withColumn("_moved", (moved | F.lag("ord").over(up).isNull()).cast("int"))
+    places = places.select(*series, "ord", epoch, F.min(F.when(F.col("complete"), F.col("ord"))).over(up.rowsBetween(1, Window.unboundedFollowing)).alias("silent"), F.max("ord").over(each).alias("newest"), F.sum("_moved").over(up).alias("changes"))
     state = F.when(F.col("event") != "deleted", F.struct(*content))
     w = Window.partitionBy(*key).orderBy("ord")
-    rows = events.select(*key, "ord", state.alias("state")).withColumn("next", F.lead("ord").over(w))
-    rows = rows.join(full, list(series), "left").join(span, list(series))
+    rows = events.select(*key, "ord", state.alias("state")).join(places.drop(epoch), [*series, "ord"]).withColumn("next", F.lead("ord").over(w))
     # the state lasts until the event after it, the first complete snapshot that says nothing of the path, or the end
-    silent = F.array_min(F.filter(F.coalesce("full", F.array().cast("array<int>")), lambda o: (o > F.col("ord")) & (F.col("next").isNull() | (o < F.col("next")))))
-    rows = rows.withColumn("until", F.least(F.coalesce(F.col("next"), F.col("newest") + 1), F.coalesce(silent, F.col("newest") + 1)) - 1)
+    rows = rows.withColumn("until", F.least(F.coalesce("next", F.col("newest") + 1), F.coalesce("silent", F.col("newest") + 1)) - 1)
     held = rows.filter("state IS NOT NULL")
     before = F.lag(F.struct("state", "until")).over(w)
     fresh = ~F.coalesce((before["until"] + 1 == F.col("ord")) & before["state"].eqNullSafe(F.col("state")), F.lit(False))
     runs = held.withColumn("run", F.sum(fresh.cast("int")).over(w))
-    made = runs.groupBy(*key, "run").agg(F.min("ord").alias("first"), F.max("until").alias("last"), F.first("newest").alias("newest"), F.first("epoch_of").alias("epoch_of"))
+    made = runs.groupBy(*key, "run").agg(F.min("ord").alias("first"), F.max("until").alias("last"), F.first("newest").alias("newest"), F.min("changes").alias("from"))
     numbered = made.withColumn("version", F.row_number().over(Window.partitionBy(*key).orderBy("first")))
-    epochs = F.size(F.array_distinct(F.transform(F.sequence("first", "last"), lambda o: F.col("epoch_of")[o])))
+    numbered = numbered.join(places.select(*series, F.col("ord").alias("last"), F.col("changes").alias("to")), [*series, "last"])
+    again = places.groupBy(*series).agg(F.count_distinct(F.struct(epoch)).alias("n"), F.max("changes").alias("c"), F.map_from_entries(F.collect_set(F.struct("ord", epoch))).alias("epoch_of")).filter("n < c").select(*series, "epoch_of")
+    numbered = numbered.join(again, list(series), "left")
+    apart = F.size(F.array_distinct(F.transform(F.sequence("first", "last"), lambda o: F.col("epoch_of")[o])))
+    epochs = F.when(F.col("epoch_of").isNull(), (F.col("to") - F.col("from") + 1).cast("int")).otherwise(apart)
     return numbered.select(*key, "version", "first", "last", (F.col("last") - F.col("first") + 1).alias("snapshots"), epochs.alias("epochs"), (F.col("last") == F.col("newest")).alias("current"))
 
 

@@ -101,23 +101,20 @@ def shown_path(path: Column) -> Column:
     return F.when(path.rlike(r"^data/[^/]+/[^/]+\.copy$"), F.regexp_replace(path, r"^data/([^/]+)/([^/]+)\.copy$", "$1.$2")).otherwise(path)
 
 
-def could_match(prefix: str, globs: Sequence[str]) -> bool:
-    """Whether something below a directory could match a glob: its fixed leading segments agree with the directory's."""
-    own = [s for s in prefix.strip("/").split("/") if s]
-    for glob in globs or ["**"]:
-        if "/" not in glob.strip("/"):
-            return True
-        fits = True
-        for a, b in zip(glob.strip("/").split("/"), own, strict=False):
-            if any(c in a for c in "*?["):
-                fits = True
-                break
-            if a != b:
-                fits = False
-                break
-        if fits:
-            return True
-    return False
+def could_hold(prefix: Column, globs: Sequence[str]) -> Column:
+    """Whether something at or below a directory could match a glob: the segments before the first wildcard agree with the
+    directory's as far as both go. A bare name, and no globs at all, could match anywhere."""
+    own = F.filter(F.split(prefix, "/"), lambda s: s != "")
+    could = F.lit(not globs)
+    for glob in globs:
+        segments = glob.strip("/").split("/")
+        fixed = next((segments[:i] for i, s in enumerate(segments) if any(c in s for c in "*?[")), segments)
+        if len(segments) == 1 or not fixed:
+            return F.lit(True)
+        start = F.array(*map(F.lit, fixed))
+        shared = F.least(F.size(own), F.lit(len(fixed)))
+        could |= F.slice(own, F.lit(1), shared) == F.slice(start, F.lit(1), shared)
+    return F.coalesce(could, F.lit(False))
 
 
 def export_tables(tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
@@ -139,3 +136,113 @@ def read_export(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str,
     """The manifest of an export and its tables."""
     manifest = spark.read.schema("table_name string, row_count long, columns string").json(f"{folder}/manifest")
     return manifest, {r.table_name: spark.read.parquet(f"{folder}/data/{r.table_name}") for r in manifest.collect()}
+
+
+def lacking_copies(listings: DataFrame, item: str, store: str, first: str) -> DataFrame:
+    """store, item: for every store but the first the items that the first lists and it does not.
+
+    An item's stores are gathered once and taken from the set of all, which is one row; only what is missing comes out.
+    """
+    held = listings.filter(F.col(item).isNotNull() & F.col(store).isNotNull()).groupBy(item).agg(F.collect_set(store).alias("_held"))
+    every = listings.filter(F.col(store) != first).agg(F.collect_set(store).alias("_all"))
+    missing = held.filter(F.array_contains("_held", first)).crossJoin(F.broadcast(every))  # one row
+    return missing.select(F.explode(F.array_except("_all", "_held")).alias(store), item)
+
+
+def live_versions(versions: DataFrame, key: Sequence[str], version: str, modified: str, marker: str, latest: str, place: str) -> DataFrame:
+    """key, version, shadowed: the newest version of each object that is no delete marker, and whether a marker that is
+    the latest hides it.
+
+    Versions of one time go by their place in the listing. An object of markers only has no version and is not shadowed.
+    """
+    real = F.when(~F.col(marker), F.col(version))
+    newest = F.max_by(real, F.when(~F.col(marker), F.struct(F.col(modified), -F.col(place))))
+    hidden = F.max(F.col(marker) & F.col(latest))
+    found = versions.groupBy(*key).agg(newest.alias(version), hidden.alias("shadowed"))
+    return found.withColumn("shadowed", F.col("shadowed") & F.col(version).isNotNull())
+
+
+def newest_at(objects: DataFrame, place: Sequence[str], modified: str, key: str) -> DataFrame:
+    """place, key of the object that was modified last at each place, of equal times the one with the greatest key."""
+    return objects.groupBy(*place).agg(F.max(F.struct(F.col(modified).alias("m"), F.col(key).alias("k")))["k"].alias(key))
+
+
+def segments_between(segments: DataFrame, name: str, first: str, last: str) -> DataFrame:
+    """Segments from `first` to `last` whatever their timeline, and every history file, by name.
+
+    A segment's place in the log is its name behind the eight digits of the timeline.
+    """
+    place = F.substring(name, 9, 16)
+    segment = F.col(name).rlike("^[0-9A-F]{24}$")
+    history = F.col(name).rlike(r"^[0-9A-F]{8}\.history$")
+    return segments.filter((segment & place.between(first[8:24], last[8:24])) | history)
+
+
+def capture_states(tables: DataFrame, triggers: DataFrame, left_out: DataFrame, table: str = "table_name") -> DataFrame:
+    """table, state of the trigger that captures a table's changes: missing, disabled or valid, and whether it captures
+    all that it must (`partial` where it lacks an event); tables that are left out are not told.
+
+    triggers: table, enabled, and events, the array of what it fires on. Of several triggers the best counts.
+    """
+    must = F.array(*map(F.lit, ("DELETE", "INSERT", "TRUNCATE", "UPDATE")))
+    whole = F.size(F.array_except(must, F.coalesce("events", F.array().cast("array<string>")))) == 0
+    rank = F.when(~F.col("enabled"), 1).when(~whole, 2).otherwise(3)
+    best = triggers.groupBy(table).agg(F.max(rank).alias("_rank"))
+    kept = tables.join(left_out.select(table), table, "left_anti").join(best, table, "left")
+    return kept.select(table, F.when(F.col("_rank").isNull(), "missing").when(F.col("_rank") == 1, "disabled").when(F.col("_rank") == 2, "partial").otherwise("valid").alias("state"))
+
+
+def export_rows(rows: DataFrame, key: str, chosen: DataFrame | None = None, **same: object) -> DataFrame:
+    """Rows whose key is among the chosen ones, by a semi-join, and rows in which every column of `same` has its value;
+    each row once. Without either, all rows."""
+    if chosen is None and not same:
+        return rows
+    match = F.lit(bool(same))
+    for column, value in same.items():
+        match = match & F.coalesce(F.col(column) == F.lit(value), F.lit(False))
+    if chosen is None:
+        return rows.filter(match)
+    picked = chosen.select(F.col(key).alias("_chosen")).distinct()
+    return rows.join(picked, F.col(key) == F.col("_chosen"), "left").filter(F.col("_chosen").isNotNull() | match).drop("_chosen")
+
+
+def deletion_turns(objects: DataFrame, key: str, suffixes: Sequence[Sequence[str]]) -> DataFrame:
+    """Objects with `turn`: those with a suffix of the first group go first, and so on; what has none goes before the last
+    group, whose objects describe the others and are deleted only when those are gone."""
+    turn = F.lit(len(suffixes))
+    for n, group in reversed(list(enumerate(suffixes, 1))):
+        ends = F.lit(False)
+        for s in group:
+            ends |= F.endswith(key, F.lit(s))
+        turn = F.when(ends, n if n < len(suffixes) else n + 1).otherwise(turn)
+    return objects.withColumn("turn", turn)
+
+
+def by_size(tables: DataFrame, size: str, name: Sequence[str]) -> DataFrame:
+    """Tables with `turn`, the largest first, of equal size by name; an unknown size comes last."""
+    return tables.withColumn("turn", F.row_number().over(Window.orderBy(F.col(size).desc_nulls_last(), *name)))
+
+
+def batches_by_id(rows: DataFrame, id_: str, size: int) -> DataFrame:
+    """Rows with `batch`, from 0: `size` rows each in order of id, whatever gaps the ids have.
+
+    Ranks come from counts of blocks of ids and a window within each block, so no task sorts all rows.
+    """
+    blocked = rows.withColumn("_block", F.floor(F.col(id_) / (size * 16)))
+    counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(id_)) - 1
+    ranked = blocked.withColumn("_rank", rank).join(before, "_block")
+    return ranked.withColumn("batch", F.floor((F.col("_before") + F.col("_rank")) / size)).drop("_block", "_rank", "_before")
+
+
+def parts_in_order(entries: DataFrame, archive: Sequence[str], place: str, name: str, part: str) -> DataFrame:
+    """archive, problems: entries that break an archive's order: names that do not rise strictly by their bytes, and parts
+    of one name that do not follow on from 0."""
+    w = Window.partitionBy(*archive).orderBy(place)
+    was, last = F.lag(F.encode(name, "utf-8")).over(w), F.lag(part).over(w)
+    now = F.encode(F.col(name), "utf-8")
+    follows = (was == now) & (F.col(part) == last + 1)
+    begins = (was.isNull() | (now > was)) & (F.coalesce(F.col(part), F.lit(0)) == 0)
+    marked = entries.withColumn("_bad", ~F.coalesce(follows, F.lit(False)) & ~begins)
+    return marked.groupBy(*archive).agg(F.count(F.when(F.col("_bad"), 1)).alias("problems"))

@@ -69,12 +69,48 @@ def recorded_overrides(spark, d):
     return catalogs.overridden(c, recorded, ["c_custkey"], ["c_mktsegment"])
 
 
-@query("SELECT event_id, event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-20' AS paused, event_id % 2 = 0 AND event_id % 5 <> 0 AS damaged FROM events")
+_DAMAGED = "('does not authenticate'), ('is missing'), ('shorter than its index'), ('is in no index'), ('not found'), ('No such object'), ('does not parse'), ('Is Missing'), ('refused')"
+_ASSERTIONS = f"""w AS (SELECT row_number() OVER () - 1 AS i, col0 AS words FROM (VALUES {_DAMAGED})),
+a AS (SELECT event_id, user_id, CASE WHEN user_id % 3 = 0 THEN 'passed' ELSE 'failed' END AS status, CASE event_id % 7 WHEN 0 THEN 'RepositoryIntegrity' WHEN 1 THEN 'RepositoryRead' ELSE 'Restore' END AS name,
+  CASE event_id % 5 WHEN 0 THEN 'check' WHEN 1 THEN 'data' WHEN 2 THEN NULL ELSE 'restore' END AS kind, event_id % 11 = 0 AS passed, ' pack ' || event_id || ' ' AS actual, 'it ' || words AS message, i < 7 AS marked FROM events JOIN w ON i = event_id % 9),
+bad AS (SELECT *, NOT passed AND coalesce(kind NOT IN ('check', 'data'), true) AND name <> 'RepositoryRead' AND (name = 'RepositoryIntegrity' OR marked) AS damaged FROM a)"""
+
+
+def _assertions(spark, d):
+    n, u = F.col("event_id"), F.col("user_id")
+    words = [*catalogs.DAMAGE, "Is Missing", "refused"]
+    name = F.when(n % 7 == 0, "RepositoryIntegrity").when(n % 7 == 1, "RepositoryRead").otherwise("Restore")
+    kind = F.when(n % 5 == 0, "check").when(n % 5 == 1, "data").when(n % 5 == 2, F.lit(None)).otherwise("restore")
+    message = F.concat(F.lit("it "), F.get(F.array(*map(F.lit, words)), (n % 9).cast("int")))
+    return t(spark, d, "events").select("event_id", "user_id", "ts", F.when(u % 3 == 0, "passed").otherwise("failed").alias("status"), name.alias("name"), kind.alias("kind"), (n % 11 == 0).alias("passed"), F.concat(F.lit(" pack "), n.cast("string"), F.lit(" ")).alias("actual"), message.alias("message"))
+
+
+@query(f"WITH {_ASSERTIONS} SELECT e.event_id, e.event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-20' AS paused, damaged FROM events e JOIN bad USING (event_id)")
 def pauses_and_damage(spark, d):
-    """paused surfaces, failures that mean damage."""
-    n = F.col("event_id")
-    rows = t(spark, d, "events").select("event_id", (n % 3 == 0).alias("paused"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz").alias("paused_until"), "ts", F.when(n % 2 == 0, "Checksum differs").otherwise("refused").alias("m"), F.when(n % 5 == 0, "check").otherwise("restore").alias("k"))
-    return rows.select("event_id", catalogs.paused(F.col("ts")).alias("paused"), catalogs.damaged(F.col("m"), F.col("k")).alias("damaged"))
+    """paused surfaces, assertions that speak of stored damage."""
+    rows = _assertions(spark, d).withColumnRenamed("passed", "held").withColumns({"paused": F.col("event_id") % 3 == 0, "paused_until": F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")})
+    return rows.select("event_id", catalogs.paused(F.col("ts")).alias("paused"), catalogs.damaged(*(F.col(c) for c in ("name", "kind", "held", "actual", "message"))).alias("damaged"))
+
+
+@query(f"WITH {_ASSERTIONS} SELECT user_id, trim(arg_min(actual, event_id)) AS damage FROM bad WHERE damaged AND status <> 'passed' GROUP BY 1")
+def stored_damage(spark, d):
+    """what the first assertion that speaks of stored damage found, of each report that did not pass."""
+    return catalogs.stored_damage(_assertions(spark, d), ["user_id"], "event_id")
+
+
+@query("""WITH r AS (SELECT n_regionkey AS k, 'r' || n_regionkey AS role, n_regionkey = 0 AS super, n_regionkey IN (1, 3) AS create_role, n_regionkey = 3 AS create_db, n_regionkey = 4 AS bypass FROM (SELECT DISTINCT n_regionkey FROM nation)),
+t AS (SELECT n_regionkey AS k, lower(n_name) AS name, n_nationkey % 2 = 0 AND n_regionkey NOT IN (3) AS writes, n_nationkey % 3 = 0 AS hidden FROM nation),
+f AS (SELECT r.*, coalesce(list_sort(list_distinct(list(name) FILTER (writes))), []) AS w, coalesce(list_sort(list_distinct(list(name) FILTER (hidden))), []) AS h FROM r LEFT JOIN t USING (k) GROUP BY ALL),
+x AS (SELECT *, array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN ' and ' || (len(w) - 3) || ' more' ELSE '' END AS ws, array_to_string(h[1:3], ', ') || CASE WHEN len(h) > 3 THEN ' and ' || (len(h) - 3) || ' more' ELSE '' END AS hs, concat_ws(' and ', CASE WHEN create_role THEN 'create roles' END, CASE WHEN create_db THEN 'create databases' END) AS extra FROM f)
+SELECT role, 'role' AS kind, CASE WHEN super THEN 'connects as ' || role || ', a superuser; a read-only role is enough' WHEN len(w) > 0 THEN role || ' can write to ' || len(w) || ' table(s) (' || ws || ')' || CASE WHEN extra <> '' THEN ' and ' || extra ELSE '' END || '; a read-only role is enough' ELSE role || ' writes to no table but can ' || extra || '; a read-only role is enough' END AS message FROM x WHERE super OR len(w) > 0 OR extra <> ''
+UNION ALL SELECT role, 'row_security', 'row-level security hides rows of ' || len(h) || ' table(s) (' || hs || ') from ' || role FROM x WHERE len(h) > 0 AND NOT super AND NOT bypass""")
+def role_findings(spark, d):
+    """what roles can do beyond reading, and rows that they do not see."""
+    n, k = t(spark, d, "nation"), F.col("n_regionkey")
+    role = F.concat(F.lit("r"), k.cast("string"))
+    roles = n.select("n_regionkey").distinct().select(role.alias("role"), (k == 0).alias("super"), k.isin(1, 3).alias("create_role"), (k == 3).alias("create_db"), (k == 4).alias("bypass"))
+    tables = n.select(role.alias("role"), F.lower("n_name").alias("table_name"), ((F.col("n_nationkey") % 2 == 0) & (k != 3)).alias("writes"), (F.col("n_nationkey") % 3 == 0).alias("hidden"))
+    return catalogs.role_findings(roles, tables)
 
 
 @query("SELECT 'f' || n_regionkey AS file, greatest(count(*), n_regionkey * 2) AS failures FROM nation GROUP BY n_regionkey")
@@ -118,19 +154,12 @@ def copy_stream_tuples(spark, d):
     return binary.copied_tuples(parts).select("path", "tuples", "columns")
 
 
-@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'table' ELSE 'extension' END AS kind, lower(n_name) AS name FROM nation WHERE n_nationkey < 10")
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'table' ELSE 'extension' END AS kind, lower(n_name) AS name FROM nation")
 def schema_facts(spark, d):
-    """Tables and extensions that a schema creates."""
+    """Tables and extensions that a schema creates."""
     name = F.lower("n_name")
     ddl = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("-- x\nCREATE TABLE "), name, F.lit(" (\n a int\n);"))).otherwise(F.concat(F.lit("CREATE EXTENSION IF NOT EXISTS "), name, F.lit(" WITH SCHEMA public;")))
-    return dumps.schema_facts(t(spark, d, "nation").filter("n_nationkey < 10").select(ddl.alias("ddl")))
-
-
-@query("SELECT path, count(*) AS rows FROM (SELECT DISTINCT epoch_id, trim(path) AS path FROM files WHERE path LIKE 'uploads/%') GROUP BY 1")
-def attachments(spark, d):
-    """Entries that a marker names."""
-    f = t(spark, d, "files").filter(F.startswith("path", F.lit("uploads/"))).select("epoch_id", trimmed(F.col("path")).alias("path")).distinct()
-    return f.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    return dumps.schema_facts(t(spark, d, "nation").select(ddl.alias("ddl")))
 
 
 # Streams: the events table read as a stream of files.

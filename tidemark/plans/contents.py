@@ -60,11 +60,14 @@ def read_ranges(spark, d):
     return chunks.merged_ranges(b, ["pack_id"], "pack_offset", "length")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT epoch_id, length, row_number() OVER (PARTITION BY epoch_id ORDER BY indexed_at NULLS FIRST, id NULLS FIRST, length) AS n FROM (SELECT DISTINCT epoch_id, id, length, indexed_at FROM blobs WHERE length > 0)),
+p AS (SELECT epoch_id, n, length AS held, 0 AS pack, length FROM b WHERE n = 1 UNION ALL
+  SELECT b.epoch_id, b.n, CASE WHEN p.held >= 33554432 THEN b.length ELSE p.held + b.length END, CASE WHEN p.held >= 33554432 THEN p.pack + 1 ELSE p.pack END, b.length FROM p JOIN b ON b.epoch_id = p.epoch_id AND b.n = p.n + 1)
+SELECT epoch_id, CAST(pack AS BIGINT) AS pack, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS blobs FROM p GROUP BY 1, 2""")
 def packs_in_order(spark, d):
     """Packs closed in order once they hold the target."""
     b = t(spark, d, "blobs").filter("length > 0").select("epoch_id", "id", "length", "indexed_at").distinct()
-    return chunks.sequential_packs(b, ["epoch_id"], ["indexed_at", "id"], "length", 33_554_432).groupBy("epoch_id", "pack").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("blobs"))
+    return chunks.sequential_packs(b, ["epoch_id"], ["indexed_at", "id", "length"], "length", 33_554_432).groupBy("epoch_id", "pack").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("blobs"))
 
 
 _INDEX = r"""i AS (SELECT lower(trim(id, E' \n\t\r')) AS id, min(type) AS type, arg_max(coalesce(lower(trim(pack_id, E' \n\t\r')), ''), (indexed_at, coalesce(lower(trim(pack_id, E' \n\t\r')), ''))) AS pack_id FROM blobs GROUP BY 1),
@@ -101,14 +104,26 @@ def files_unchanged(spark, d):
 
 
 # Text functions, over texts made of the tables.
-_RULES = "CASE WHEN k = 0 THEN 'rm -rf /srv' WHEN k = 1 THEN 'DROP TABLE orders' WHEN k = 2 THEN 'truncate events' WHEN k = 3 THEN 'delete from part;' WHEN k = 4 THEN 'git push origin --force' ELSE 'select 1' END"
+#: Commands that match one rule each, in their order, then some that match none.
+COMMANDS = (
+    """psql -c 'ALTER TABLE t DROP  Column c'""", """psql -c "truncate \\"t\\" cascade\"""", """psql -c "DELETE FROM shop.t\"""", "(dropdb shop)", "terraform -chdir=a destroy", "tofu apply -auto-approve -destroy",
+    "npx prisma migrate reset", "prisma db push --accept --force-reset", "supabase db reset --linked", "bundle exec rake db:schema:load", "python manage.py flush",
+    "select * from dropped", "delete from t where id = 1", "mydropdb x", "terraform apply", "prisma migrate deploy", "rails db:migrate", "Prisma Migrate Reset", "manage.py flushed",
+)
 
 
-@query(f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'delete_files' WHEN 1 THEN 'drop' WHEN 2 THEN 'truncate' WHEN 3 THEN 'delete_all' WHEN 4 THEN 'force_push' END AS rule FROM events")
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_MATCHED = "CASE " + " ".join(f"WHEN regexp_matches(c, {_literal(p)}) THEN {_literal(n)}" for n, p in text.DESTRUCTIVE) + " END"
+
+
+@query(f"SELECT event_id, {_MATCHED} AS rule FROM (SELECT event_id, CASE event_id % {len(COMMANDS)} " + " ".join(f"WHEN {i} THEN {_literal(c)}" for i, c in enumerate(COMMANDS)) + " END AS c FROM events)")
 def destructive_scan(spark, d):
     """the first rule that a command matches."""
-    e = t(spark, d, "events").select("event_id", (F.col("event_id") % 7).alias("k"))
-    return e.select("event_id", text.first_rule(F.expr(_RULES)).alias("rule"))
+    command = F.get(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS)).cast("int"))
+    return t(spark, d, "events").select("event_id", text.first_rule(command).alias("rule"))
 
 
 @query("""SELECT n_nationkey, ['db', n_name || '.x', 't"q'] AS parts, '"' || n_name || '"' AS identifier, '''' || n_name || '''''s''' AS literal FROM nation""")

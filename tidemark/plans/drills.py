@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.digest import ordered_digest
-from tidemark.operators import catalogs, changelog, delta, logs, restores, verify
+from tidemark.operators import catalogs, changelog, delta, logs, mail, restores, verify
 from tidemark.plans.registry import catalog
 from tidemark.session import table as t
-from tidemark.sources import binary, dumps, sqlpass
+from tidemark.sources import applications, archives, binary, dumps, sqlpass
 from tidemark.streaming import jobs
 
 CATALOG, query = catalog()
@@ -32,21 +32,52 @@ def drill_files(spark, d):
     return names.join(found, "problem", "left").select("problem", F.coalesce("files", F.lit(0).cast("long")).alias("files"))
 
 
-@query("""SELECT source, count(*) AS messages, count(*) FILTER (text IS NULL OR text = '') AS unreadable, count(*) - count(*) FILTER (doc_id % 50 = 0) AS restored, count(*) FILTER (doc_id % 50 = 0) = 0 AS passed FROM documents GROUP BY 1""")
+_MAIL = "m AS (SELECT lower(source) AS mailbox, coalesce(lower(lang), '') AS folder, doc_id, CASE WHEN text <> '' THEN sha256(text) END AS digest FROM documents)"
+
+
+def _messages(spark, d):
+    text = F.when(F.col("text") != "", F.sha2(F.col("text"), 256))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return t(spark, d, "documents").select(F.lower("source").alias("mailbox"), F.coalesce(F.lower("lang"), F.lit("")).alias("folder"), "doc_id", text.alias("digest"), size.alias("size"), F.lit(7).alias("uid_validity"), F.col("doc_id").alias("uid"))
+
+
+@query(f"""WITH {_MAIL}, w AS (SELECT mailbox, folder, digest, count(*) AS n FROM m GROUP BY 1, 2, 3), h AS (SELECT mailbox, folder, digest, count(*) AS k FROM m WHERE doc_id % 50 <> 0 GROUP BY 1, 2, 3)
+SELECT w.mailbox, w.folder, CAST(sum(n) AS BIGINT) AS messages, CAST(sum(CASE WHEN w.digest IS NULL THEN n ELSE 0 END) AS BIGINT) AS unreadable, CAST(sum(CASE WHEN w.digest IS NULL THEN 0 ELSE n - coalesce(k, 0) END) AS BIGINT) AS lost, sum(CASE WHEN w.digest IS NULL THEN 0 ELSE n - coalesce(k, 0) END) = 0 AS passed
+FROM w LEFT JOIN h ON h.mailbox = w.mailbox AND h.folder = w.folder AND h.digest = w.digest GROUP BY 1, 2""")
 def drill_messages(spark, d):
-    """Messages of each folder against what was restored; unreadable ones are told, not failed."""
-    m = t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("messages"), F.count(F.when(F.col("text").isNull() | (F.col("text") == ""), 1)).alias("unreadable"))
-    r = t(spark, d, "documents").filter("doc_id % 50 <> 0").groupBy("source").agg(F.count(F.lit(1)).alias("restored"))
-    return m.join(r, "source", "left").select("source", "messages", "unreadable", F.coalesce("restored", F.lit(0).cast("long")).alias("restored"), F.coalesce(F.col("messages") == F.col("restored"), F.lit(False)).alias("passed"))
+    """V8: each folder's messages against what was restored, by digest; unreadable ones are told, not failed."""
+    m = _messages(spark, d)
+    return mail.compared_messages(m, m.filter("doc_id % 50 <> 0"))
+
+
+@query(f"""WITH {_MAIL}, s AS (SELECT mailbox, folder, count(*) AS messages, max(doc_id) AS highest_uid FROM m GROUP BY 1, 2) SELECT mailbox, folder, messages, highest_uid FROM s
+WHERE NOT (mailbox = 'wiki_export' AND folder <> 'en') AND NOT (mailbox <> 'wiki_export' AND folder = 'fr')""")
+def mail_folders(spark, d):
+    """Folders of each mailbox that are read; where one holds every label's messages it alone, no junk; their numbers."""
+    m = _messages(spark, d)
+    folders = m.select("mailbox", "folder").distinct().withColumns({"use": F.when(F.col("folder") == "fr", "\\Junk"), "all_mail": (F.col("mailbox") == "wiki_export") & (F.col("folder") == "en")})
+    return mail.folder_stats(m.join(mail.chosen_folders(folders), ["mailbox", "folder"], "left_semi")).select("mailbox", "folder", "messages", "highest_uid")
+
 
+@query(f"WITH {_MAIL} SELECT mailbox, digest, count(*) AS copies FROM m WHERE digest IS NOT NULL GROUP BY 1, 2")
+def mail_bodies(spark, d):
+    """Each body once for all folders that hold it."""
+    return mail.stored_bodies(_messages(spark, d).filter("digest IS NOT NULL")).select("mailbox", "digest", "copies")
 
-@query("""SELECT 'rows' AS name, (SELECT count(*) FROM customer) = (SELECT count(*) FROM customer) AS passed UNION ALL SELECT 'attachments', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'pending', (SELECT count(*) FROM nation WHERE n_nationkey > 20) = 0""")
+
+@query("""SELECT 'rows' AS name, (SELECT count(*) FROM customer) = (SELECT count(DISTINCT c_custkey) FROM customer JOIN orders ON o_custkey = c_custkey) AS passed UNION ALL SELECT 'attachments', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'pending', (SELECT count(*) FROM nation WHERE n_nationkey > 20) = 0""")
 def drill_application(spark, d):
-    """Rows, attachments and pending migrations of an application's backup."""
+    """Rows, attachments and pending migrations of an application's backup; here customers without orders are lost."""
     c, o, n = (t(spark, d, x) for x in ("customer", "orders", "nation"))
-    rows = verify.manifest_assertions(c.agg(F.count(F.lit(1)).alias("row_count")).withColumn("k", F.lit(1)), c.agg(F.count(F.lit(1)).alias("row_count")).withColumn("k", F.lit(1)), ["k"]).select(F.lit("rows").alias("name"), "passed")
-    lost = o.select("o_custkey").join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").agg((F.count(F.lit(1)) == 0).alias("passed")).select(F.lit("attachments").alias("name"), "passed")
-    pending = n.filter("n_nationkey > 20").agg((F.count(F.lit(1)) == 0).alias("passed")).select(F.lit("pending").alias("name"), "passed")
+    counted = lambda df: df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("k", F.lit(1))
+    restored = c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    rows = verify.manifest_assertions(counted(c), counted(restored), ["k"]).select(F.lit("rows").alias("name"), "passed")
+    named, stored = (df.select(F.col(k).cast("string").alias("file")) for df, k in ((o, "o_custkey"), (c, "c_custkey")))
+    lost = applications.absent_attachments(named, stored.select(F.concat(F.lit("uploads/"), "file").alias("path")), ["uploads"])
+    lost = lost.agg((F.count(F.lit(1)) == 0).alias("passed")).select(F.lit("attachments").alias("name"), "passed")
+    paths = n.select(F.concat(F.lit("database/migrations/"), F.col("n_nationkey").cast("string"), F.lit(".php")).alias("path"))
+    ran = n.filter("n_nationkey <= 20").select(F.col("n_nationkey").cast("string").alias("migration"))
+    pending = applications.pending_migrations(paths, ran).agg((F.count(F.lit(1)) == 0).alias("passed")).select(F.lit("pending").alias("name"), "passed")
     return _union([rows, lost, pending])
 
 
@@ -89,17 +120,23 @@ def newest_of_lists(spark, d):
     return a.unionByName(e.filter("event_id % 2 = 1").orderBy(F.desc("event_id")).limit(5).select(F.lit("b").alias("list"), "event_id"))
 
 
-@query("SELECT key, CASE WHEN key LIKE '%.pack' OR key LIKE '%.idx' THEN 1 WHEN key LIKE '%.snap' THEN 3 ELSE 2 END AS turn FROM (SELECT DISTINCT key FROM objects)")
+@query("SELECT key, CAST(CASE WHEN key LIKE '%.pack' OR key LIKE '%.idx' THEN 1 WHEN key LIKE '%.snap' THEN 3 ELSE 2 END AS INTEGER) AS turn FROM (SELECT DISTINCT key FROM objects)")
 def delete_order(spark, d):
-    """In which order objects go: data, then what describes it, the snapshot last."""
-    turn = F.when(F.col("key").rlike(r"\.(pack|idx)$"), 1).when(F.col("key").rlike(r"\.snap$"), 3).otherwise(2)
-    return t(spark, d, "objects").select("key").distinct().select("key", turn.alias("turn"))
+    """In which order objects go: data, then what describes it, the snapshot last."""
+    return restores.deletion_turns(t(spark, d, "objects").select("key").distinct(), "key", [[".pack", ".idx"], [".snap"]])
+
 
+@query("SELECT n_regionkey, n_name, CAST(row_number() OVER (ORDER BY CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey * 7 % 5 END DESC NULLS LAST, n_regionkey, n_name) AS INTEGER) AS turn FROM nation")
+def largest_first(spark, d):
+    """The tables of a manifest, the largest first."""
+    n = t(spark, d, "nation").select("n_regionkey", "n_name", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey") * 7 % 5).alias("size"))
+    return restores.by_size(n, "size", ["n_regionkey", "n_name"]).drop("size")
 
-@query("SELECT event_id // 5000 AS batch, count(*) AS erasures, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+
+@query("SELECT batch, count(*) AS erasures, min(event_id) AS first, max(event_id) AS last FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 500 AS batch FROM events WHERE event_type = 'purchase') GROUP BY 1")
 def erasure_batches(spark, d):
-    """Batches of erasures by id, one object each."""
-    e = t(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 5000).cast("long").alias("batch"))
+    """Erasures in batches by id, one object each, whatever gaps the ids have."""
+    e = restores.batches_by_id(t(spark, d, "events").filter("event_type = 'purchase'").select("event_id"), "event_id", 500)
     return e.groupBy("batch").agg(F.count(F.lit(1)).alias("erasures"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
@@ -112,11 +149,25 @@ def event_headers(spark, d):
     return binary.event_headers(t(spark, d, "events").select("event_id", head.alias("content")), "event_id")
 
 
-@query("SELECT 'n' || n_regionkey AS path, count(*) AS documents, count(*) * 5 AS bytes FROM nation GROUP BY 1")
-def archive_documents(spark, d):
-    """Documents of archives laid end to end."""
-    a = t(spark, d, "nation").groupBy(F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("path")).agg(F.unhex(F.repeat(F.lit("0500000000"), F.count(F.lit(1)).cast("int"))).alias("content"))
-    return binary.archive_documents(a).select("path", "documents", "bytes")
+@query("""SELECT 'r' || r AS path, 'shop.' || c AS namespace, c = 'v' AS view, CAST(coalesce(n, 0) AS BIGINT) AS documents, CAST(coalesce(b, 0) AS BIGINT) AS bytes, r <> 4 OR c <> 'even' AS ended, CASE WHEN c = 'v' OR n IS NULL OR (r = 4 AND c = 'even') THEN NULL ELSE r <> 3 END AS sound
+FROM (SELECT DISTINCT n_regionkey AS r FROM nation), (VALUES ('even'), ('odd'), ('v')) x(c) LEFT JOIN (SELECT n_regionkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS e, count(*) AS n, sum(4 + 1 + 6 + 8 + 1 + 2 + 4 + length(n_name) + 1 + 1) AS b FROM nation GROUP BY 1, 2) s ON k = r AND e = c""")
+def archive_namespaces(spark, d):
+    """Namespaces of archives of documents, with their checksums; one archive is damaged, one lacks an end."""
+    return archives.archive_namespaces(_archives(spark, d)).drop("problem")
+
+
+def _archives(spark, d):
+    """An archive a region of its nations, even and odd ones in two collections."""
+    import pandas as pd
+
+    def build(key, rows):
+        kinds = {"even": rows[rows.n_nationkey % 2 == 0], "odd": rows[rows.n_nationkey % 2 == 1]}
+        made = archives.write_archive({k: [archives.document(a_num=int(n), b=str(x)) for n, x in zip(v.n_nationkey, v.n_name, strict=True)] for k, v in kinds.items()}, "shop", ("v",), ("even",) if key[0] == 4 else ())
+        if key[0] == 3:  # every digit of a name is another one, so that no checksum holds
+            made = made.replace(b"NATION_", b"NATI0N_")
+        return pd.DataFrame({"path": [f"r{key[0]}"], "content": [made]})
+
+    return t(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInPandas(build, "path string, content binary")
 
 
 @query("SELECT o_orderstatus, count(*) > 10 AS holds FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1")
@@ -152,11 +203,9 @@ def drill_point(spark, d):
     return logs.as_of(points, bases, ["user_id"], "at", "ended", ["base_id"], strict=True).select("user_id", "n", "base_id")
 
 
-@query("SELECT side, count(*) AS rows FROM (SELECT 'left' AS side FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT 'right' FROM orders WHERE o_orderkey % 10 = 0) GROUP BY 1")
+@query("SELECT side, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS customers FROM (SELECT 'left' AS side, o_custkey FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 10 <> 0 UNION ALL SELECT 'right', o_custkey FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 6 <> 0) GROUP BY 1")
 def trailer_against_index(spark, d):
-    """Entries that either side has more often than the other."""
+    """Entries that a pack's trailer or the index has more often than the other."""
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    left, right = o.unionByName(o.filter("o_orderkey % 6 = 0")), o.unionByName(o.filter("o_orderkey % 10 = 0"))
-    both = delta.exact_difference(left, right)
-    extra = o.filter("o_orderkey % 30 = 0")  # doubled on both sides: they cancel out
-    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(extra.agg(F.count(F.lit(1)).alias("x")))).select("side", (F.col("n") + F.col("x")).alias("rows"))  # one row
+    trailer, index = o.unionByName(o.filter("o_orderkey % 6 = 0")), o.unionByName(o.filter("o_orderkey % 10 = 0"))
+    return delta.exact_difference(trailer, index).groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_custkey").alias("customers"))

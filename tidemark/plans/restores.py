@@ -66,10 +66,16 @@ def timeline_resolution(spark, d):
     return restores.timelines(b.select("surface_id", F.col("timeline").alias("from_timeline"), F.col("at").alias("seg")).distinct(), branches, ["surface_id"])
 
 
-@query("SELECT event_id FROM events WHERE event_id BETWEEN 100 AND 200 OR event_type = 'login'")
+_NAMED = "n AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN printf('%08X.history', CAST(event_id AS BIGINT)) ELSE upper(printf('%08x%08x%08x', CAST(event_id % 3 + 1 AS BIGINT), event_id // 256, event_id % 256)) END AS name FROM events)"
+
+
+@query(f"WITH {_NAMED} SELECT event_id, name FROM n WHERE event_id % 50 = 0 OR event_id BETWEEN 300 AND 700")
 def segment_range(spark, d):
-    """Segments within a range, and all history files."""
-    return t(spark, d, "events").filter(F.col("event_id").between(100, 200) | (F.col("event_type") == "login")).select("event_id")
+    """Segments within a range whatever their timeline, and all history files."""
+    n = F.col("event_id")
+    name = F.when(n % 50 == 0, F.concat(F.lpad(F.hex(n), 8, "0"), F.lit(".history"))).otherwise(text.segment_name(n % 3 + 1, n))
+    rows = t(spark, d, "events").select("event_id", name.alias("name"))
+    return restores.segments_between(rows, "name", "00000001000000010000002C", "0000000100000002000000BC")
 
 
 @query("""SELECT event_id, upper(printf('%08x%08x%08x', CAST(1 AS BIGINT), n // 256, n % 256)) AS name FROM (SELECT event_id, unnest(generate_series(event_id, event_id + event_id % 3)) AS n FROM events)""")
@@ -142,17 +148,18 @@ def catalog_description(spark, d):
     return df.groupBy("table_name").agg(F.array_join(listed, ", ").alias("columns"), F.max(F.when(F.col("primary_key"), F.col("name"))).alias("key"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'missing' WHEN c_custkey % 3 = 0 THEN 'disabled' ELSE 'valid' END AS trigger_state FROM customer WHERE c_custkey % 10 <> 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'missing' WHEN c_custkey % 3 = 0 THEN 'disabled' WHEN c_custkey % 5 = 1 THEN 'partial' ELSE 'valid' END AS state FROM customer WHERE c_custkey % 10 <> 0")
 def trigger_status(spark, d):
-    """Each table with the state of its capture trigger; tables that are left out have none."""
-    c = t(spark, d, "customer").select("c_custkey")
-    triggers = c.filter("c_custkey % 4 <> 0").select("c_custkey", (F.col("c_custkey") % 3 != 0).alias("enabled"))
-    joined = c.join(c.filter("c_custkey % 10 = 0"), "c_custkey", "left_anti").join(triggers, "c_custkey", "left")
-    return joined.select("c_custkey", F.when(F.col("enabled").isNull(), "missing").when(~F.col("enabled"), "disabled").otherwise("valid").alias("trigger_state"))
+    """Each table with the state of its capture trigger; tables that are left out are not told."""
+    c, k = t(spark, d, "customer").select("c_custkey"), F.col("c_custkey")
+    events = F.when(k % 5 == 1, F.array(*map(F.lit, ("INSERT", "UPDATE")))).otherwise(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE", "TRUNCATE"))))
+    triggers = c.filter(k % 4 != 0).select("c_custkey", (k % 3 != 0).alias("enabled"), events.alias("events"))
+    return restores.capture_states(c, triggers, c.filter(k % 10 == 0), "c_custkey")
 
 
-@query("SELECT event_id FROM events WHERE event_id IN (5, 17, 23) OR (user_id = 1 AND event_type = 'login')")
+@query("SELECT event_id FROM events WHERE event_id IN (SELECT event_id * 5 FROM events WHERE event_type = 'purchase') OR (user_id = 1 AND event_type = 'error')")
 def export_selection(spark, d):
-    """rows chosen by id, or else by owner."""
+    """rows chosen by id, or else by what they hold."""
     e = t(spark, d, "events")
-    return e.filter(F.col("event_id").isin(5, 17, 23) | ((F.col("user_id") == 1) & (F.col("event_type") == "login"))).select("event_id")
+    chosen = e.filter("event_type = 'purchase'").select((F.col("event_id") * 5).alias("event_id"))
+    return restores.export_rows(e, "event_id", chosen, user_id=1, event_type="error").select("event_id")

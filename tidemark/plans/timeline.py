@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions import lsn
-from tidemark.operators import delta, history, logs, retention
+from tidemark.operators import delta, history, logs, restores, retention
 from tidemark.plans.registry import catalog
 from tidemark.session import table as t
 
@@ -42,11 +42,16 @@ def _catalog(spark, d, complete_every=4):
     seen = latest.withColumn("before", F.lag(F.struct("ord", "type", "value")).over(w)).withColumn("next", F.lead("ord").over(w))
     same = (F.col("before.ord") + 1 == F.col("ord")) & (F.col("before.type") == F.col("type")) & (F.col("before.value") == F.col("value"))
     full = F.col("ord") % complete_every == 1
-    present = seen.filter(full | ~F.coalesce(same, F.lit(False))).select(*series, "path", "ord", F.lit("present").alias("event"), "type", "value")
-    newest = places.groupBy(*series).agg(F.max("ord").alias("newest"))
-    gone = seen.join(newest, series).filter((F.coalesce("next", F.lit(0)) != F.col("ord") + 1) & (F.col("ord") < F.col("newest")) & ((F.col("ord") + 1) % complete_every != 1))
-    gone = gone.select(*series, "path", (F.col("ord") + 1).alias("ord"), F.lit("deleted").alias("event"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"))
-    return present.unionByName(gone), places.select(*series, "ord", "epoch_id", full.alias("complete"))
+    newest = F.max("ord").over(Window.partitionBy(*series))
+    places = places.withColumn("newest", newest)
+    seen = seen.join(places.select(*series, "ord", "newest"), [*series, "ord"])
+    text = F.lit(None).cast("string")
+    event = lambda ord_, name, type_, value: F.struct(ord_.alias("ord"), F.lit(name).alias("event"), type_.alias("type"), value.alias("value"))
+    present = F.when(full | ~F.coalesce(same, F.lit(False)), event(F.col("ord"), "present", F.col("type"), F.col("value")))
+    left = (F.coalesce("next", F.lit(0)) != F.col("ord") + 1) & (F.col("ord") < F.col("newest")) & ((F.col("ord") + 1) % complete_every != 1)
+    gone = F.when(left, event(F.col("ord") + 1, "deleted", text, text))
+    events = seen.select(*series, "path", F.explode(F.array_compact(F.array(present, gone))).alias("e")).select(*series, "path", "e.*")
+    return events, places.select(*series, "ord", "epoch_id", full.alias("complete"))
 
 
 @query(f"""WITH {_PLACES}
@@ -182,11 +187,12 @@ def blackout_at(spark, d):
     return e.select("event_id", cal.in_blackout(F.col("ts"), w).alias("inside"), cal.blackout_end(F.col("ts"), w).cast("timestamp_ntz").alias("until"))
 
 
-@query("SELECT CAST(240 + 30 + 60 AS BIGINT) AS minutes, CAST(3 AS BIGINT) AS windows")
+@query("SELECT n_regionkey, CAST(sum(30 * (n_nationkey % 5 + 1)) AS BIGINT) AS minutes, count(*) AS windows FROM nation GROUP BY 1")
 def blackout_total(spark, d):
-    """Total length of the windows, not of their union."""
-    rows = spark.createDataFrame(cal.parse_blackout(_WINDOWS), "a int, b int")
-    return rows.agg(F.sum(F.pmod(F.col("b") - F.col("a"), F.lit(1440)).cast("long")).alias("minutes"), F.count(F.lit(1)).alias("windows"))
+    """Total length of each surface's windows, not of their union; windows may pass midnight."""
+    n = F.col("n_nationkey")
+    rows = t(spark, d, "nation").select("n_regionkey", (n * 57 % 1440).alias("a"), ((n * 57 + 30 * (n % 5 + 1)) % 1440).alias("b"))
+    return cal.blackout_minutes(rows, ["n_regionkey"], "a", "b")
 
 
 @query("SELECT user_id, CAST(min(g) AS BIGINT) AS shortest_us, CAST(max(g) AS BIGINT) AS longest_us FROM (SELECT user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS g FROM events) WHERE g IS NOT NULL GROUP BY 1")
@@ -198,23 +204,22 @@ def schedule_gaps(spark, d):
     return gaps.groupBy("user_id").agg(F.min("g").alias("shortest_us"), F.max("g").alias("longest_us"))
 
 
-#: Schedules, moments and the next run.
-CRON = [("at 02:00", "2026-10-17 01:00", "2026-10-17 02:00"), ("at 02:00", "2026-10-17 02:00", "2026-10-18 02:00"), ("30 */6 * * *", "2026-10-17 07:00", "2026-10-17 12:30"), ("0 3 * * 1-5", "2026-10-17 04:00", "2026-10-19 03:00"), ("0 0 1 * *", "2026-10-17 04:00", "2026-11-01 00:00"), ("0 4 * * 0", "2026-10-17 04:00", "2026-10-18 04:00"), ("0 4 * * 7", "2026-10-17 04:00", "2026-10-18 04:00")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in CRON) + ") AS v(schedule, after, next)")
+@query("""WITH m AS (SELECT event_id, ts, date_trunc('day', ts) AS day, epoch(ts) - epoch(date_trunc('day', ts)) AS s FROM events)
+SELECT event_id, CASE WHEN s < 7200 THEN day + INTERVAL 2 HOUR ELSE day + INTERVAL 26 HOUR END AS daily,
+  CASE WHEN s < 1800 THEN day + INTERVAL 30 MINUTE ELSE day + INTERVAL 30 MINUTE + INTERVAL 6 HOUR * CAST(floor((s - 1800) / 21600) + 1 AS INTEGER) END AS quarterly, date_trunc('month', ts) + INTERVAL 1 MONTH AS monthly,
+  CASE WHEN isodow(ts) <= 5 AND s < 10800 THEN day + INTERVAL 3 HOUR WHEN isodow(ts) <= 4 OR isodow(ts) = 7 THEN day + INTERVAL 27 HOUR WHEN isodow(ts) = 5 THEN day + INTERVAL 75 HOUR ELSE day + INTERVAL 51 HOUR END AS workdays FROM m""")
 def schedule_next(spark, d):
-    """The next run of each schedule."""
-    f = "%Y-%m-%d %H:%M"
-    return spark.createDataFrame([(a, b, cal.Cron(a).next(dt.datetime.strptime(b, f)).strftime(f)) for a, b, _ in CRON], "schedule string, after string, next string")
+    """The next run of each schedule after a moment."""
+    schedules = {"daily": "at 02:00", "quarterly": "30 */6 * * *", "monthly": "0 0 1 * *", "workdays": "0 3 * * 1-5"}
+    return t(spark, d, "events").select("event_id", *[cal.next_run(F.col("ts"), text).alias(name) for name, text in schedules.items()])
 
 
 @query("""SELECT DISTINCT user_id, CASE WHEN n = 0 THEN 'never' WHEN last > TIMESTAMP '2024-01-20' THEN 'due: clock went back' WHEN fails BETWEEN 1 AND 3 AND last + INTERVAL 5 MINUTE <= TIMESTAMP '2024-01-20' THEN 'retry' WHEN last + INTERVAL 1 DAY <= TIMESTAMP '2024-01-20' THEN 'due' ELSE 'wait' END AS state
-FROM (SELECT user_id, count(*) AS n, max(ts) AS last, count(*) FILTER (event_type = 'error') AS fails FROM events WHERE event_id % 3 = 0 GROUP BY 1)""")
+FROM (SELECT user_id, count(*) AS n, max(ts) AS last, count(*) FILTER (event_type = 'error') AS fails FROM events GROUP BY 1)""")
 def schedule_due(spark, d):
     """Which runs are due."""
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    each = t(spark, d, "events").filter("event_id % 3 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.count(F.when(F.col("event_type") == "error", 1)).alias("fails"))
+    each = t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.count(F.when(F.col("event_type") == "error", 1)).alias("fails"))
     reasons = {"never": F.col("n") == 0, "due: clock went back": F.col("last") > now, "retry": F.col("fails").between(1, 3) & (F.col("last") + F.expr("INTERVAL 5 MINUTES") <= now), "due": F.col("last") + F.expr("INTERVAL 1 DAY") <= now}
     return each.select("user_id", retention.first_reason(reasons, "wait").alias("state"))
 
@@ -388,18 +393,31 @@ def spool_drop_oldest(spark, d):
 @query("""WITH k AS (SELECT DISTINCT epoch_id, store FROM objects), f AS (SELECT epoch_id FROM k WHERE store = 'first') SELECT c.store, f.epoch_id FROM f CROSS JOIN (SELECT DISTINCT store FROM k WHERE store <> 'first') c WHERE (f.epoch_id, c.store) NOT IN (SELECT epoch_id, store FROM k)""")
 def copies_missing(spark, d):
     """Epochs of the first store that a copy lacks."""
-    k = t(spark, d, "objects").select("epoch_id", "store").distinct()
-    copies = k.filter("store <> 'first'").agg(F.array_sort(F.collect_set("store")).alias("stores"))  # one row
-    wanted = k.filter("store = 'first'").select("epoch_id").crossJoin(F.broadcast(copies)).select(F.explode("stores").alias("store"), "epoch_id")
-    return wanted.join(k, ["store", "epoch_id"], "left_anti")
+    return restores.lacking_copies(t(spark, d, "objects"), "epoch_id", "store", "first")
+
+
+_VERSIONS = "v AS (SELECT DISTINCT store, key, etag, listed_at, modified, size IS NULL AS marker FROM objects), o AS (SELECT *, row_number() OVER (PARTITION BY store, key ORDER BY listed_at DESC, modified DESC NULLS LAST, etag DESC NULLS LAST, marker DESC) AS place FROM v)"
 
 
-@query("""SELECT key, store, version FROM (SELECT *, row_number() OVER (PARTITION BY key, store ORDER BY listed_at DESC, size DESC NULLS LAST) AS rn, count(*) OVER (PARTITION BY key, store) AS version FROM (SELECT DISTINCT key, store, size, listed_at FROM objects)) WHERE rn = 1""")
+def _versions(spark, d):
+    """Every listing of a key as a version of it: one without a size is a delete marker, the newest listing the latest."""
+    v = t(spark, d, "objects").select("store", "key", "etag", "listed_at", "modified", F.col("size").isNull().alias("marker")).distinct()
+    w = Window.partitionBy("store", "key").orderBy(F.desc("listed_at"), F.desc_nulls_last("modified"), F.desc_nulls_last("etag"), F.desc("marker"))
+    return v.withColumn("place", F.row_number().over(w)).withColumn("latest", F.col("place") == 1)
+
+
+@query(f"""WITH {_VERSIONS}, n AS (SELECT store, key, etag, row_number() OVER (PARTITION BY store, key ORDER BY listed_at DESC, place) AS rn FROM o WHERE NOT marker)
+SELECT k.store, k.key, n.etag, k.hidden AND n.etag IS NOT NULL AS shadowed FROM (SELECT store, key, bool_or(marker AND place = 1) AS hidden FROM o GROUP BY 1, 2) k LEFT JOIN n ON n.store = k.store AND n.key = k.key AND n.rn = 1""")
 def live_version(spark, d):
-    """The newest listing of each object and how many there are."""
-    rows = t(spark, d, "objects").select("key", "store", "size", "listed_at").distinct()
-    w = Window.partitionBy("key", "store")
-    return rows.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("listed_at"), F.desc_nulls_last("size"))), "version": F.count(F.lit(1)).over(w)}).filter("rn = 1").select("key", "store", "version")
+    """The newest version of each object that is no delete marker, and whether one hides it."""
+    return restores.live_versions(_versions(spark, d), ["store", "key"], "etag", "listed_at", "marker", "latest", "place")
+
+
+@query("SELECT store, epoch_id, arg_max(key, (modified, key)) AS key FROM objects WHERE modified IS NOT NULL GROUP BY 1, 2")
+def newest_object(spark, d):
+    """The object that was modified last at each place, of equal times the one with the greatest key."""
+    rows = t(spark, d, "objects").filter("modified IS NOT NULL")
+    return restores.newest_at(rows, ["store", "epoch_id"], "modified", "key").select("store", "epoch_id", "key")
 
 
 _CHAIN = "c AS (SELECT n_regionkey, n_nationkey, md5(n_name) AS certificate_hash, CASE WHEN n_nationkey = 12 THEN 'broken' ELSE lag(md5(n_name)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) END AS prev_hash FROM nation)"
@@ -416,12 +434,14 @@ def attestation_chain(spark, d):
     return certificate_chain(n, ["n_regionkey"], ["n_nationkey"]).select("n_nationkey", "linked")
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS b FROM lineitem) SELECT l_orderkey, count(*) FILTER (l_linenumber <> coalesce(b, 0) + 1) AS breaks FROM p GROUP BY 1""")
+@query("""WITH e AS (SELECT epoch_id, path, seen_at, ino % 4 AS part, row_number() OVER (PARTITION BY epoch_id ORDER BY seen_at, path, ino % 4) AS place FROM (SELECT DISTINCT epoch_id, path, seen_at, ino FROM files)),
+m AS (SELECT *, lag(encode(path)) OVER w AS was, lag(part) OVER w AS last FROM e WINDOW w AS (PARTITION BY epoch_id ORDER BY place))
+SELECT epoch_id, count(*) FILTER (NOT (coalesce(was = encode(path) AND part = last + 1, false) OR ((was IS NULL OR encode(path) > was) AND part = 0))) AS problems FROM m GROUP BY 1""")
 def part_order(spark, d):
-    """Parts of each entry that do not follow the one before."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey")
-    rows = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") != F.coalesce(F.lag("l_linenumber").over(w), F.lit(0)) + 1).alias("b"))
-    return rows.groupBy("l_orderkey").agg(F.count(F.when(F.col("b"), 1)).alias("breaks"))
+    """Entries of each archive that do not come in order of their names' bytes, or whose parts do not follow."""
+    rows = t(spark, d, "files").select("epoch_id", "path", "seen_at", "ino").distinct().withColumn("part", F.col("ino") % 4)
+    place = F.row_number().over(Window.partitionBy("epoch_id").orderBy("seen_at", "path", "part"))
+    return restores.parts_in_order(rows.withColumn("place", place), ["epoch_id"], "place", "path", "part")
 
 
 @query("""WITH f AS (SELECT path, min(sha256) AS sha256, min(ino) AS ino FROM files WHERE sha256 IS NOT NULL GROUP BY 1), o AS (SELECT 'old/' || path AS path, sha256 FROM f WHERE ino % 3 = 0 UNION ALL SELECT path, sha256 FROM f WHERE ino % 3 = 1),
