@@ -15,22 +15,31 @@ def stream_of(spark, folder, batches, schema):
 
 def test_pushes_are_accepted_repeated_or_refused(spark, tmp_path):
     same, other = "a" * 64, "b" * 64
-    rows = [[("s1", same), ("s2", other)], [("s1", same), ("s2", same), ("s3", None)]]
-    out = jobs.drained(jobs.pushes(stream_of(spark, tmp_path, rows, "name string, digest string"), "name", "digest"), "t")
+    rows = [[("s1", same, 1), ("s2", other, 2)], [("s1", same, 4), ("s2", same, 5), ("s3", None, 6), ("s4", same, 8), ("s4", other, 7)]]
+    out = jobs.drained(jobs.pushes(stream_of(spark, tmp_path, rows, "name string, digest string, at int"), "name", "digest", "at"), "t")
     got = sorted((r.name, r.outcome) for r in out.collect())
-    assert len(got) == 5 and got[:2] == [("s1", "accepted"), ("s1", "repeated")] and ("s2", "refused") in got
+    assert {(r.digest, r.outcome) for r in out.filter("name = 's4'").collect()} == {(other, "accepted"), (same, "refused")}
+    assert len(got) == 7 and got[:2] == [("s1", "accepted"), ("s1", "repeated")] and ("s2", "refused") in got
 
 
 def test_positions_and_gaps(spark, tmp_path):
-    rows = [[("l", 0, 10), ("l", 10, 20)], [("l", 25, 30)]]
-    out = jobs.drained(jobs.positions(stream_of(spark, tmp_path, rows, "log string, a long, b long"), "log", "a", "b"), "t", "update")
-    assert out.agg(F.max("position")).first()[0] in (20, 30)
+    rows = [[("l", 0, 10), ("l", 10, 20), ("m", 0, 3)], [("l", 25, 30)]]
+    out = jobs.drained(jobs.positions(stream_of(spark, tmp_path, rows, "log string, a long, b long"), "log", "a", "b"), "t", "update", ["log"])
+    assert [tuple(r) for r in out.collect()] == [("l", 30, 1), ("m", 3, 0)]
+
+
+def test_keys_that_later_batches_do_not_tell_of_are_kept(spark, tmp_path):
+    rows = [[("a", 0, 1)], [("b", 5, 9)], [("c", 2, 4), ("a", 1, 7)]]
+    out = jobs.drained(jobs.positions(stream_of(spark, tmp_path, rows, "log string, a long, b long"), "log", "a", "b"), "t", "update", ["log"])
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 7, 0), ("b", 9, 0), ("c", 4, 0)]
+    with pytest.raises(ValueError):
+        jobs.drained(stream_of(spark, tmp_path, rows, "log string, a long, b long"), "t", "update")
 
 
 def test_heartbeats_count_failures_since_the_last_success(spark, tmp_path):
     rows = [[("s", "2026-01-01 00:00:00", True), ("s", "2026-01-01 01:00:00", False), ("s", "2026-01-01 02:00:00", False)]]
     stream = stream_of(spark, tmp_path, rows, "surface string, at string, ok boolean").withColumn("at", F.col("at").cast("timestamp"))
-    r = jobs.drained(jobs.heartbeats(stream, "surface", "at", "ok"), "t", "update").first()
+    r = jobs.drained(jobs.heartbeats(stream, "surface", "at", "ok"), "t", "update", ["surface"]).first()
     assert (r.attempts, r.failures) == (3, 2) and r.last_attempt - r.last_success == 2 * 3600 * 10**6
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -10,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW = 48
-SEED = 0x5DEECE66D
+WINDOW = 64
+#: An irreducible polynomial of degree 53 over GF(2); each repository may have its own.
+POLYNOMIAL = 0x3DA3358B4DC173
+BLOCK = 1 << 20
 
 
 def fixed_chunks(rows: DataFrame, keep: Sequence[str], content: str, size: int) -> DataFrame:
@@ -22,34 +25,60 @@ def fixed_chunks(rows: DataFrame, keep: Sequence[str], content: str, size: int)
     return placed.select(*keep, "seq", (F.col("seq").cast("long") * size).alias("offset"), F.length(piece).cast("long").alias("length"), F.sha2(piece.cast("binary"), 256).alias("id"))
 
 
-def cut_points(data: bytes, least: int, mean: int, most: int, seed: int = SEED) -> list[int]:
-    """Ends of the chunks of content-defined cutting: where a hash of the last WINDOW bytes meets a mask of the mean size.
+@functools.cache
+def _places(polynomial: int) -> np.ndarray:
+    """What a byte adds to the fingerprint at each place of the window: byte x^(8 place) modulo the polynomial."""
+    degree = polynomial.bit_length() - 1
+    table = np.empty((WINDOW, 256), np.uint64)
+    table[0] = np.arange(256)
+    for k in range(1, WINDOW):
+        v = table[k - 1].copy()
+        for _ in range(8):
+            v <<= np.uint64(1)
+            v = np.where(v >> np.uint64(degree), v ^ np.uint64(polynomial), v)
+        table[k] = v
+    return table
 
-    The hash is a sum of per-byte values shifted by one place each, so it depends on the window only and an insertion
-    moves cuts only until the next common one. `mean` is a power of two.
+
+def fingerprints(data: bytes, polynomial: int = POLYNOMIAL) -> np.ndarray:
+    """The Rabin fingerprint of the WINDOW bytes that end at each byte; bytes before the first count as zeros.
+
+    A fingerprint is linear in the bytes of its window, so those of all places are summed side by side."""
+    table = _places(polynomial)
+    raw = np.frombuffer(data, np.uint8)
+    out = np.zeros(len(raw), np.uint64)
+    for k in range(min(WINDOW, len(raw))):
+        out[k:] ^= table[k][raw[: len(raw) - k]]
+    return out
+
+
+def cut_points(data: bytes, least: int, mean: int, most: int, polynomial: int = POLYNOMIAL) -> list[int]:
+    """Ends of the chunks of content-defined cutting: where the low bits of the fingerprint of the last WINDOW bytes are
+    all zero, `mean` being a power of two. An insertion moves cuts only until the next common one.
+
+    Where `least` is WINDOW or more a window lies within its chunk; below that it reaches into the chunk before.
     """
+    if mean < 1 or mean & (mean - 1) or mean > 1 << 52:
+        raise ValueError("the mean length is no power of two")
     n = len(data)
-    if n == 0:
-        return []
-    table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64)
-    values = table[np.frombuffer(data, np.uint8)]
-    h = np.zeros(n, np.uint64)
-    for k in range(min(WINDOW, n)):
-        h[k:] += values[: n - k] << np.uint64(k)
-    mask = np.uint64((mean - 1) << 20)
-    marks = np.flatnonzero((h & mask) == 0) + 1
-    ends, start, i = [], 0, 0
+    marks: list[np.ndarray] = []
+    for start in range(0, n, BLOCK):
+        before = min(start, WINDOW - 1)
+        prints = fingerprints(data[start - before : start + BLOCK], polynomial)[before:]
+        marks.append(np.flatnonzero((prints & np.uint64(mean - 1)) == 0) + start + 1)
+    ends_at = np.concatenate([*marks, np.empty(0, np.int64)])
+    ends, start = [], 0
     while start < n:
-        i = int(np.searchsorted(marks, start + least))
-        end = int(marks[i]) if i < len(marks) else n
+        i = int(np.searchsorted(ends_at, start + least))
+        end = int(ends_at[i]) if i < len(ends_at) else n
         end = min(end, start + most, n)
         ends.append(end)
         start = end
     return ends
 
 
-def defined_chunks(rows: DataFrame, keep: Sequence[str], content: str, least: int, mean: int, most: int, seed: int = SEED) -> DataFrame:
-    """keep, seq, offset, length, id of content-defined chunks; the same seed cuts alike, every chunk but the last is
+def defined_chunks(rows: DataFrame, keep: Sequence[str], content: str, least: int, mean: int, most: int, polynomial: int = POLYNOMIAL) -> DataFrame:
+    """keep, seq, offset, length, id of content-defined chunks; the same polynomial cuts alike, every chunk but the last is
     between `least` and `most` long. Null and empty contents have none."""
     names = [f"k{i}" for i in range(len(keep))]
 
@@ -60,7 +89,7 @@ def defined_chunks(rows: DataFrame, keep: Sequence[str], content: str, least: in
             for i, value in enumerate(batch.column("c")):
                 data = value.as_py() or b""
                 start = 0
-                for seq, end in enumerate(cut_points(data, least, mean, most, seed)):
+                for seq, end in enumerate(cut_points(data, least, mean, most, polynomial)):
                     at.append(i)
                     found.append((seq, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
                     start = end

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import trimmed
 from tidemark.operators import catalogs
 from tidemark.plans.registry import catalog
 from tidemark.session import table as t
-from tidemark.sources import binary, dumps
-from tidemark.streaming import jobs
+from tidemark.sources import binary, dumps, tables
+from tidemark.streaming import followers, jobs
 
 CATALOG, query = catalog()
 
@@ -162,32 +164,93 @@ def schema_facts(spark, d):
     return dumps.schema_facts(t(spark, d, "nation").select(ddl.alias("ddl")))
 
 
-# Streams: the events table read as a stream of files.
-def _events(spark, d):
-    return jobs.file_stream(spark, d, "events.parquet", t(spark, d, "events").schema)
+# Streams: the events table in the order of its ids, as four batches that come one after the other.
+def _events(spark, d, name):
+    return jobs.sliced_stream(t(spark, d, "events"), name, "event_id")
+
+
+_PUSHED = "p AS (SELECT event_id, user_id, CASE WHEN event_id % 50 = 0 THEN 'other' ELSE 'own' END AS digest FROM events), f AS (SELECT *, row_number() OVER w AS rn, first(digest) OVER w AS held FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"
 
 
-@query("""SELECT outcome, count(*) AS segments FROM (SELECT CASE WHEN rn = 1 THEN 'accepted' ELSE 'repeated' END AS outcome FROM (SELECT row_number() OVER (PARTITION BY user_id) AS rn FROM events)) GROUP BY 1""")
+@query(f"WITH {_PUSHED} SELECT CASE WHEN rn = 1 THEN 'accepted' WHEN digest = held THEN 'repeated' ELSE 'refused' END AS outcome, count(*) AS segments FROM f GROUP BY 1")
 def stream_pushes(spark, d):
-    """T4: pushes that are accepted, repeated or refused; here each user's name always comes with one digest."""
-    digest = F.sha2(F.col("user_id").cast("string"), 256)
-    rows = _events(spark, d).select("user_id", digest.alias("digest"))
-    return jobs.drained(jobs.pushes(rows, "user_id", "digest"), "pushes").groupBy("outcome").agg(F.count(F.lit(1)).alias("segments"))
+    """T4: pushes that are accepted, repeated or refused, over several batches."""
+    digest = F.sha2(F.concat(F.col("user_id").cast("string"), F.when(F.col("event_id") % 50 == 0, "other").otherwise("own")), 256)
+    rows = _events(spark, d, "pushes").select("user_id", digest.alias("digest"), "event_id")
+    return jobs.drained(jobs.pushes(rows, "user_id", "digest", "event_id"), "pushes").groupBy("outcome").agg(F.count(F.lit(1)).alias("segments"))
 
 
-@query("""WITH o AS (SELECT *, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT user_id, ts, event_type, event_id FROM events)),
-l AS (SELECT user_id, max(CASE WHEN ok THEN n ELSE 0 END) AS g FROM o GROUP BY 1) SELECT o.user_id, count(*) AS attempts, epoch_us(max(ts)) AS last_attempt, count(*) FILTER (n > g) AS failures FROM o JOIN l ON l.user_id = o.user_id GROUP BY 1""")
+@query("""WITH o AS (SELECT *, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+l AS (SELECT user_id, max(CASE WHEN ok THEN n ELSE 0 END) AS g FROM o GROUP BY 1)
+SELECT o.user_id, count(*) AS attempts, max(o.event_id) * 1000000 AS last_attempt, coalesce(max(CASE WHEN ok THEN o.event_id END), 0) * 1000000 AS last_success, count(*) FILTER (n > g) AS failures FROM o JOIN l ON l.user_id = o.user_id GROUP BY 1""")
 def stream_heartbeats(spark, d):
-    """Last attempt and failures since the last success of each surface."""
-    rows = _events(spark, d).select("user_id", "ts", (F.col("event_type") != "error").alias("ok"))
-    return jobs.drained(jobs.heartbeats(rows, "user_id", "ts", "ok"), "beats", "update").drop("last_success")
+    """Last attempt, last success and failures since then of each surface, kept over several batches."""
+    rows = _events(spark, d, "beats").select("user_id", F.timestamp_seconds("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return jobs.drained(jobs.heartbeats(rows, "user_id", "at", "ok"), "beats", "update", ["user_id"])
 
 
 @query("SELECT user_id, max(event_id) + 1 AS position, count(*) - 1 - count(*) FILTER (n = event_id + 1) AS gaps FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY 1")
 def stream_positions(spark, d):
-    """How far each log was followed, and its gaps."""
-    rows = _events(spark, d).select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 1).alias("e"))
-    return jobs.drained(jobs.positions(rows, "user_id", "s", "e"), "positions", "update")
+    """How far each log was followed, and its gaps, kept over several batches."""
+    rows = _events(spark, d, "positions").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 1).alias("e"))
+    return jobs.drained(jobs.positions(rows, "user_id", "s", "e"), "positions", "update", ["user_id"])
+
+
+def _followed(spark, kind, path, name, most=0):
+    spark.dataSource.register(followers.LogDataSource)
+    return jobs.drained(spark.readStream.format("followed_log").option("kind", kind).option("path", path).option("most", most).load(), name)
+
+
+@query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n, count(*) OVER () AS total FROM events)
+SELECT printf('binlog.%06d', CAST(n // 1000 AS BIGINT)) AS log, count(*) AS changes, max(event_id) AS newest FROM n WHERE n < total - total % 7 GROUP BY 1""")
+def stream_binlog(spark, d):
+    """Changes of a binary log that goes over several files, whole transactions of seven changes only."""
+    folder = tables.local_path(jobs.folder(spark, "binlog"))
+    held: list = []
+    n = 0
+    for r in t(spark, d, "events").select("event_id").orderBy("event_id").toLocalIterator():  # the log of this example
+        held.append((30, r[0]))
+        n += 1
+        held += [(followers.XID, r[0])] * (n % 7 == 0)
+        if n % 1000 == 0:
+            followers.write_binlog(folder, f"binlog.{n // 1000 - 1:06d}", held)
+            held = []
+    followers.write_binlog(folder, f"binlog.{n // 1000:06d}", held)
+    changes = _followed(spark, "binlog", folder, "binlog").filter("kind = '30'")
+    return changes.groupBy("log").agg(F.count(F.lit(1)).alias("changes"), F.max("detail").alias("newest"))
+
+
+@query("""SELECT 'orders' AS log, op AS kind, count(*) AS entries FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'd' ELSE 'u' END AS op, o_orderkey, max(o_orderkey) OVER () AS last FROM orders) WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey = last) GROUP BY 2""")
+def stream_oplog(spark, d):
+    """Entries of a log of lines; an entry of a transaction that does not end there waits."""
+    folder = tables.local_path(jobs.folder(spark, "oplog"))
+    with open(f"{folder}/orders", "w", encoding="utf-8") as f:
+        for r in t(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").toLocalIterator():
+            k = r[0]
+            txn = {"txn": k, "commit": False} if k % 5 == 0 else {"txn": k, "commit": True} if k % 5 == 1 else {}
+            f.write(json.dumps({"ts": k, "op": "d" if k % 3 == 0 else "u", **txn}) + "\n")
+    return _followed(spark, "lines", folder, "oplog").groupBy("log", "kind").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("SELECT count(DISTINCT n_regionkey) + 1 AS commits, true AS whole FROM nation")
+def stream_pages(spark, d):
+    """Frames of a page log up to the last commit; here a table and a transaction for each region."""
+    import sqlite3
+
+    path = f"{tables.local_path(jobs.folder(spark, 'pages'))}/shop.db"
+    db = sqlite3.connect(path, isolation_level=None)
+    db.execute("PRAGMA journal_mode = WAL")
+    db.execute("PRAGMA wal_autocheckpoint = 0")
+    db.execute("CREATE TABLE nation (region INTEGER, name TEXT)")
+    for region in sorted({r[0] for r in t(spark, d, "nation").select("n_regionkey").distinct().collect()}):
+        db.execute("BEGIN")
+        db.executemany("INSERT INTO nation VALUES (?, ?)", [(r[0], r[1]) for r in t(spark, d, "nation").filter(F.col("n_regionkey") == region).select("n_regionkey", "n_name").collect()])
+        db.execute("COMMIT")
+    frames = _followed(spark, "pages", f"{path}-wal", "pages")
+    found = frames.agg(F.count(F.when(F.col("kind") == "commit", 1)).alias("commits"), (F.max("next_position") == F.count(F.lit(1))).alias("whole"))
+    found = spark.createDataFrame(found.collect(), found.schema)  # one row, before the database goes
+    db.close()
+    return found
 
 
 @query("SELECT event_type, count(*) AS events FROM events GROUP BY 1")
@@ -195,7 +258,7 @@ def stream_shipped(spark, d):
     """Events shipped batch by batch to a store and its copy, compacted and read back."""
     target, copy, kept = (jobs.folder(spark, n) for n in ("ship", "copy", "ship-state"))
     failures: list = []
-    stream = _events(spark, d).writeStream.foreachBatch(jobs.fan_out([target, copy], failures)).option("checkpointLocation", kept).trigger(availableNow=True).start()
+    stream = _events(spark, d, "ship").writeStream.foreachBatch(jobs.fan_out([target, copy], failures)).option("checkpointLocation", kept).trigger(availableNow=True).start()
     stream.awaitTermination()
     jobs.compacted(spark, copy, f"{copy}-compact")
     return spark.read.parquet(f"{copy}-compact").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import lsn, text
@@ -41,11 +42,16 @@ def chunk_new_bytes(spark, d):
     return chunks.new_bytes(refs, refs.filter("id LIKE '%0'").select("id").distinct(), ["event_id"], ["event_id", "seq"])
 
 
-@query("SELECT count(*) AS files, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events WHERE length(props) > 0")
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, 0 AS outside, sha256(text) AS id FROM documents WHERE text <> ''")
 def chunk_defined(spark, d):
-    """Content-defined chunks cover every byte of every file once."""
-    c = chunks.defined_chunks(t(spark, d, "events"), ["event_id"], "props", 4, 8, 32)
-    return c.agg(F.count_distinct("event_id").alias("files"), F.sum("length").alias("bytes"))
+    """Content-defined chunks cover every byte of every file once and keep their bounds; a file of one chunk has its id."""
+    texts = t(spark, d, "documents").select("doc_id", "text")
+    c = chunks.defined_chunks(texts, ["doc_id"], "text", 64, 256, 1024)
+    last = F.col("seq") == F.max("seq").over(Window.partitionBy("doc_id"))
+    wrong = ((F.col("length") < 64) & ~last) | (F.col("length") > 1024)
+    found = c.withColumn("wrong", wrong).groupBy("doc_id").agg(F.sum("length").alias("bytes"), F.count(F.when(F.col("wrong"), 1)).cast("int").alias("outside"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    joined = found.join(texts, "doc_id")
+    return joined.select("doc_id", "bytes", "outside", F.when(F.col("n") == 1, F.col("id")).otherwise(F.sha2("text", 256)).alias("id"))
 
 
 _BLOBS = r"b AS (SELECT DISTINCT lower(trim(pack_id, E' \n\t\r')) AS pack_id, pack_offset, length FROM blobs WHERE trim(pack_id, E' \n\t\r') <> '' AND length > 0 AND pack_offset IS NOT NULL)"

@@ -145,5 +145,7 @@ def sqlite_counts(spark: SparkSession, path: str) -> DataFrame:
 def local_path(location: str) -> str:
     """The path of a `file:` location, made if it is missing."""
     path = location.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{location} is no folder of a file system that this machine sees")
     Path(path).mkdir(parents=True, exist_ok=True)
     return path
