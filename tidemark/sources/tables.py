@@ -103,9 +103,10 @@ class SqliteReader(DataSourceReader):
             try:
                 low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
             except sqlite3.OperationalError:
-                return [InputPartition(None)]  # a view, or a table without row ids
+                low = high = None
         db.close()
-        return [InputPartition(r) for r in key_ranges(low, high, self.parts)] or [InputPartition((0, -1))]
+        # a view, or a table without row ids or rows, is read in one part
+        return [InputPartition(r) for r in key_ranges(low, high, self.parts)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         columns = _columns(self.path, self.table)
