@@ -236,10 +236,10 @@ def _dumps(spark, d):
     return n.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("path"), copy.alias("copy"), insert.alias("insert"))
 
 
-@query("SELECT 'region-' || n_regionkey AS path, 'public' AS schema_name, 'nation' AS table_name, count(*) AS rows FROM nation GROUP BY 1 UNION ALL SELECT DISTINCT 'region-' || n_regionkey, 'public', 'empty', CAST(0 AS BIGINT) FROM nation")
+@query("SELECT 'region-' || n_regionkey AS path, 'plain' AS kind, 'public' AS schema_name, 'nation' AS table_name, count(*) AS rows FROM nation GROUP BY 1 UNION ALL SELECT DISTINCT 'region-' || n_regionkey, 'plain', 'public', 'empty', CAST(0 AS BIGINT) FROM nation")
 def dump_copy_counts(spark, d):
-    """Rows per table of plain dumps."""
-    return dumps.table_counts(_dumps(spark, d).select("path", F.encode("copy", "utf-8").alias("content"))).select("path", "schema_name", "table_name", "rows")
+    """Rows per table of plain dumps."""
+    return dumps.table_counts(_dumps(spark, d).select("path", F.encode("copy", "utf-8").alias("content"))).select("path", "kind", "schema_name", "table_name", "rows")
 
 
 @query("SELECT 'region-' || n_regionkey AS path, 'nation' AS table_name, count(*) AS rows FROM nation GROUP BY 1")
@@ -248,6 +248,27 @@ def dump_insert_counts(spark, d):
     return dumps.table_counts(_dumps(spark, d).select("path", F.encode("insert", "utf-8").alias("content"))).select("path", "table_name", "rows")
 
 
+_CUT = "CASE WHEN n_nationkey % 5 = 3 THEN 'the dump ends within the rows of db' || n_regionkey || ':public.t' WHEN n_nationkey % 5 = 4 THEN 'unknown dumps are not counted' END"
+
+
+@query(f"""SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 2 THEN 'mysql' WHEN n_nationkey % 5 < 2 THEN 'cluster' END AS kind, CASE WHEN n_nationkey % 5 = 2 THEN n_name END AS database, CASE WHEN n_nationkey % 5 = 2 THEN '8.4.' || n_nationkey WHEN n_nationkey % 5 < 2 THEN '16.' || n_nationkey END AS server,
+  CASE WHEN n_nationkey % 5 < 2 THEN ['pg_cron', 'x-y'] WHEN n_nationkey % 5 = 2 THEN [] END AS extensions, CASE WHEN n_nationkey % 5 < 3 THEN n_nationkey % 5 < 2 END AS creates_database, CASE WHEN n_nationkey % 5 < 2 THEN n_nationkey WHEN n_nationkey % 5 = 2 THEN 0 END AS cron_jobs,
+  CASE WHEN n_nationkey % 5 < 2 THEN 2 WHEN n_nationkey % 5 = 2 THEN 1 END AS tables, CASE WHEN n_nationkey % 5 < 2 THEN n_regionkey + 3 WHEN n_nationkey % 5 = 2 THEN n_nationkey END AS rows, {_CUT} AS problem FROM nation""")
+def dump_facts(spark, d):
+    """Kind, databases, versions, extensions and scheduled jobs of dumps of a server, cut ones and others."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    lines = lambda c: F.repeat(F.lit("1\tx\n"), c.cast("int"))
+    block = lambda db, table, c: F.concat(F.lit("\\connect "), db, F.lit("\nCOPY "), F.lit(table), F.lit(" (a, b) FROM stdin;\n"), lines(c))
+    end = F.lit("\\.\n")
+    facts = F.concat(F.lit("--\n-- PostgreSQL database cluster dump\n--\n-- Dumped from database version 16."), n.cast("string"), F.lit('\nCREATE DATABASE x;\nCREATE EXTENSION IF NOT EXISTS pg_cron WITH SCHEMA x;\nCREATE EXTENSION "x-y";\n'))
+    cluster = F.concat(facts, block(F.concat(F.lit("db"), r), "public.t", F.col("n_regionkey")), end, block(F.lit("-reuse-previous=on \"two\""), "t", F.lit(3)), end, block(F.lit("two"), "cron.job", n), end, block(F.lit("two"), "cron.job_run_details", F.lit(9)), end)
+    cut = F.concat(facts, block(F.concat(F.lit("db"), r), "public.t", F.lit(2)))
+    mysql = F.concat(F.lit("-- MySQL dump 10\n-- Host: h    Database: "), F.col("n_name"), F.lit("\n-- Server version\t8.4."), n.cast("string"), F.lit("\nINSERT INTO `t` VALUES (0,'\n);(')"), F.repeat(F.lit(",(1,'a\\')')"), (n - 1).cast("int")), F.lit(";\n-- Dump completed on 2026-01-01\n"))
+    content = F.when(n % 5 == 4, F.lit("words\n")).when(n % 5 == 3, cut).when(n % 5 == 2, mysql).otherwise(cluster)
+    files = t(spark, d, "nation").select(n.cast("string").alias("path"), F.encode(content, "utf-8").alias("content"))
+    return dumps.dump_facts(files).withColumn("n_nationkey", F.col("path").cast("int")).drop("path")
+
+
 @query("SELECT r_name AS region, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def sqlpass_join(spark, d):
     """X1, pass-through: a user's read-only SQL over the snapshot."""

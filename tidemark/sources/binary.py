@@ -135,17 +135,21 @@ class DumpReader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        import os
+        from pyarrow import fs
 
-        names = sorted(n for n in os.listdir(self.folder) if not n.startswith(".") and not n.endswith((".part", ".tmp")))
-        return [InputPartition(os.path.join(self.folder, n)) for n in names if os.path.isfile(os.path.join(self.folder, n))]
+        system, root = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+        names = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.is_file]
+        finished = [n for n in sorted(names) if not n.rsplit("/", 1)[-1].startswith(".") and not n.endswith((".part", ".tmp"))]
+        return [InputPartition(n) for n in finished]
 
     def read(self, partition):
-        from tidemark.sources.dumps import _count
+        from pyarrow import fs
 
-        with open(partition.value, "rb") as f:
-            batch = pa.RecordBatch.from_arrays([pa.array([partition.value]), pa.array([f.read()], pa.binary())], names=["path", "content"])
-        yield from _count(iter([batch]))
+        from tidemark.sources.dumps import counted
+
+        system, _ = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+        with system.open_input_stream(partition.value, compression=None) as stream:
+            yield from counted(partition.value, stream)
 
 
 def event_headers(events: DataFrame, keep: str, content: str = "content") -> DataFrame:
