@@ -1,6 +1,7 @@
 """Readers of archives, settings, roles, attachments, mail and database files, and the operators beside them."""
 
 import io
+import os
 import random
 import sqlite3
 import struct
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import catalogs, changelog, chunks, mail, restores
-from tidemark.sources import applications, archives, tables
+from tidemark.sources import applications, archives, files, tables
 
 
 def got(df, *columns):
@@ -260,3 +261,36 @@ def test_cuts_do_not_depend_on_blocks(monkeypatch):
     lengths = [b - a for a, b in zip([0, *whole], whole, strict=False)]
     assert sum(lengths) == len(data) and max(lengths) <= 4096 and min(lengths[:-1]) >= 64
     assert chunks.cut_points(data, 64, 512, 4096, 0x2982FD2F72D9F5) != whole
+
+
+def test_files_are_listed_level_by_level(spark, tmp_path):
+    (tmp_path / "a/b/c").mkdir(parents=True)
+    (tmp_path / "a/b/c/deep.txt").write_text("deep")
+    (tmp_path / "top").write_bytes(b"")
+    (tmp_path / "link").symlink_to("a")
+    os.mkfifo(tmp_path / "pipe")
+    (tmp_path / "empty").mkdir()
+    found = got(files.listed(spark, str(tmp_path)), "path", "kind", "size", "target")
+    assert found == [("a", "folder", None, None), ("a/b", "folder", None, None), ("a/b/c", "folder", None, None), ("a/b/c/deep.txt", "file", 4, None), ("empty", "folder", None, None), ("link", "link", None, "a"), ("top", "file", 0, None)]
+    assert got(files.by_prefix(files.listed(spark, f"file://{tmp_path}"), "a/b"), "path") == [("a/b/c/deep.txt",)]
+
+
+def test_objects_are_put_whole_read_and_deleted(spark, tmp_path):
+    df = spark.createDataFrame([("x/y", b"1"), ("z", None), ("../up", b"2"), ("/abs", b"2"), ("a//b", b""), (None, b"")], "key string, content binary")
+    assert {r.key: r.outcome for r in files.put(df, str(tmp_path)).collect() if r.outcome == "written"} == {"x/y": "written", "z": "written"}
+    assert not list(tmp_path.parent.glob("up")) and not list(tmp_path.rglob("*.part"))
+    other = df.withColumn("content", F.lit(b"other")).filter("key = 'x/y'")
+    assert files.put(other, str(tmp_path)).first().outcome == "there" and (tmp_path / "x/y").read_bytes() == b"1"
+    assert files.put(other, str(tmp_path), replace=True).first().outcome == "written"
+    assert got(files.get(df, str(tmp_path)).filter("content IS NOT NULL")) == [("x/y", bytearray(b"other")), ("z", bytearray(b""))]
+    twice = spark.createDataFrame([("z",), ("none",)], "key string")
+    assert got(files.delete(twice, str(tmp_path))) == [("none", "missing"), ("z", "deleted")]
+    assert files.delete(twice, str(tmp_path)).filter("outcome = 'missing'").count() == 2
+
+
+def test_descendants_of_long_chains_and_cycles(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)] + [("12", "3"), ("q", "r"), (None, "0")], "parent string, child string")
+    assert sorted(int(r.name) for r in changelog.descendants(edges, spark.createDataFrame([("2",), (None,)], "name string")).collect()) == list(range(2, 13))
+    with pytest.raises(ValueError):
+        changelog.descendants(edges, spark.createDataFrame([("0",)], "name string"), depth=3)
+    assert changelog.descendants(edges, spark.createDataFrame([], "name string")).count() == 0

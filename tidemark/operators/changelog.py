@@ -45,20 +45,22 @@ def erasure_counts(erasures: DataFrame, tables: Sequence[str]) -> DataFrame:
     return erasures.groupBy("rel").agg(F.count(F.lit(1)).alias("erasures")).withColumn("present", F.col("rel").isin(list(tables)))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """name, of roots and all that inherit from them, by a bounded recursive query; edges: parent, child.
+def descendants(edges: DataFrame, roots: DataFrame, depth: int = 4096) -> DataFrame:
+    """name, of roots and all that inherit from them, each once; edges: parent, child.
 
-    A cycle ends at the bound, duplicates are removed afterwards.
+    Each step follows the edges from what was new in the step before, so a cycle ends by itself and a chain may be as long
+    as `depth`, beyond which it is an error. Every step is one job, checkpointed.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_tm_edges")
-    roots.createOrReplaceTempView("_tm_roots")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(name, depth) AS (
-          SELECT name, 0 FROM _tm_roots UNION ALL
-          SELECT e.child, w.depth + 1 FROM walk w JOIN _tm_edges e ON e.parent = w.name WHERE w.depth < {depth}
-        ) SELECT DISTINCT name FROM walk"""
-    )
+    from tidemark.session import checkpointed
+
+    new = seen = checkpointed(roots.select("name").filter("name IS NOT NULL").distinct())
+    for _ in range(depth + 1):
+        below = edges.join(new, F.col("parent") == F.col("name")).select(F.col("child").alias("name")).filter("name IS NOT NULL").distinct()
+        new = checkpointed(below.join(seen, "name", "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = checkpointed(seen.unionByName(new))
+    raise ValueError(f"a chain of more than {depth}")
 
 
 def carried(tables: DataFrame, refusals: dict[str, Column]) -> DataFrame:

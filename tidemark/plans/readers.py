@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import restores
 from tidemark.plans.registry import catalog
+from tidemark.session import checkpointed
 from tidemark.session import table as t
-from tidemark.sources import applications, tables
-from tidemark.streaming import jobs
+from tidemark.sources import applications, files, tables
+from tidemark.streaming import followers, jobs
 
 CATALOG, query = catalog()
 
@@ -113,3 +118,58 @@ def prefixes_that_could_match(spark, d):
     parts = F.split("path", "/")
     rows = t(spark, d, "files").filter("path <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path")).distinct()
     return rows.select("path", restores.could_hold(F.col("path"), ["media/**/x", "archive/old/*.log"]).alias("could"))
+
+
+def _stored(spark, d, name) -> tuple[str, DataFrame]:
+    """A folder with an object for each nation, in a folder for each region."""
+    place = jobs.folder(spark, name)
+    n = t(spark, d, "nation")
+    objects = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string")).alias("key"), F.encode("n_name", "utf-8").alias("content"))
+    return place, objects
+
+
+@query("SELECT 'r' || n_regionkey || '/n' || n_nationkey AS path, CAST(length(n_name) AS BIGINT) AS size, 'file' AS kind FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, NULL, 'folder' FROM nation")
+def files_listed(spark, d):
+    """Everything below a folder, listed level by level."""
+    place, objects = _stored(spark, d, "listed")
+    files.put(objects, place).write.format("noop").mode("overwrite").save()
+    return files.listed(spark, place).select("path", "size", "kind")
+
+
+@query("""SELECT 'r' || n_regionkey || '/n' || n_nationkey AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'deleted' ELSE 'kept' END AS state, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS content FROM nation UNION ALL SELECT '../out', 'refused', NULL UNION ALL SELECT 'r9/none', 'missing', NULL""")
+def objects_kept(spark, d):
+    """Objects put, put again, deleted and read."""
+    place, objects = _stored(spark, d, "objects")
+    more = objects.unionByName(spark.createDataFrame([("../out", b"x")], "key string, content binary"))
+    first = checkpointed(files.put(more, place))
+    again = checkpointed(files.put(objects.withColumn("content", F.encode(F.lit("another"), "utf-8")), place))  # what is there stays
+    written = first.filter("outcome = 'written'").join(again.filter("outcome = 'there'"), "key", "left_semi").select("key")
+    gone = checkpointed(files.delete(written.filter(F.regexp_extract("key", r"(\d+)$", 1).cast("int") % 3 == 0).unionByName(spark.createDataFrame([("r9/none",)], "key string")), place))
+    state = F.when(F.col("outcome") == "written", "kept").otherwise("refused")
+    told = first.join(gone, "key", "left_anti").select("key", state.alias("state")).unionByName(gone.select("key", F.col("outcome").alias("state")))
+    return files.get(told, place).join(told, "key").select("key", "state", F.decode("content", "utf-8").alias("content"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'd' ELSE 'u' END AS kind, count(*) AS entries, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def stream_resumed(spark, d):
+    """A query that ends and is started again with its checkpoint, after its log has grown, tells of each entry once."""
+    spark.dataSource.register(followers.LogDataSource)
+    logs = tables.local_path(jobs.folder(spark, "resumed-log"))
+    out, kept = (jobs.folder(spark, f"resumed-{n}") for n in ("out", "state"))
+    rows = [r[0] for r in t(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").toLocalIterator()]  # the log of this example
+    half = len(rows) // 2
+    for part in (rows[:half], [], rows[half:]):
+        with open(f"{logs}/log", "a", encoding="utf-8") as f:
+            f.writelines(json.dumps({"ts": k, "op": "d" if k % 3 == 0 else "u"}) + "\n" for k in part)
+        stream = spark.readStream.format("followed_log").option("kind", "lines").option("path", logs).load()
+        stream.writeStream.format("parquet").option("checkpointLocation", kept).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("kind").agg(F.count(F.lit(1)).alias("entries"), F.sum("detail").alias("keys"))
+
+
+@query("SELECT a AS low, b AS high, n FROM (SELECT min(c_custkey) AS a, max(c_custkey) AS b, count(*) AS n, k FROM (SELECT c_custkey, (c_custkey - (SELECT min(c_custkey) FROM customer)) * 4 // (SELECT max(c_custkey) - min(c_custkey) + 1 FROM customer) AS k FROM customer) GROUP BY k)")
+def key_ranges(spark, d):
+    """The ranges of a key that a table is read in over JDBC, and what each holds."""
+    c = t(spark, d, "customer").select("c_custkey")
+    low, high = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    parts = [c.filter(p.replace('"', "`")).agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"), F.count(F.lit(1)).alias("n")) for p in tables.range_predicates("c_custkey", low, high, 4)]
+    return reduce(DataFrame.unionByName, parts)
