@@ -294,3 +294,37 @@ def test_descendants_of_long_chains_and_cycles(spark):
     with pytest.raises(ValueError):
         changelog.descendants(edges, spark.createDataFrame([("0",)], "name string"), depth=3)
     assert changelog.descendants(edges, spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_entry_names_come_back(spark):
+    from tidemark.functions import ids
+    from tidemark.sources.binary import entry_name
+
+    texts = ["a b", "é/ü", "100%", 'x\\y:*?"<>|', "", "plain-name_1.txt", "\n", "€"]
+    df = spark.createDataFrame([(x,) for x in texts] + [(None,)], "t string").withColumn("n", ids.entry_name(F.col("t")))
+    assert [(r.t, r.n) for r in df.filter("t IS NOT NULL").collect()] == [(x, entry_name(x)) for x in texts]
+    assert [r[0] for r in df.select(ids.percent_decoded(F.col("n"))).collect()][: len(texts)] == texts
+
+
+def test_rows_before_and_running_sums_in_buckets(spark):
+    from pyspark.sql import Window
+
+    from tidemark.operators import logs
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice(["a", "b", None]), i, rng.randint(0, 60), rng.randint(0, 3)) for i in range(300)], "g string, i int, at int, v int")
+    w = Window.partitionBy("g").orderBy("at", "i")
+    plain = got(df.select("i", F.lag("v").over(w), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    cut = F.floor(F.col("at") / 7)
+    rows = logs.with_before(df, ["g"], ["at", "i"], F.col("v"), cut)
+    assert got(logs.running_sum(rows, ["g"], ["at", "i"], F.col("v"), "s", cut), "i", "_before", "s") == plain
+
+
+def test_rewrites_and_unsteady_files(spark):
+    make = lambda rows: spark.createDataFrame([(f, i, 10 * i, n, x) for f, i, n, x in rows], "file string, seq int, offset long, length long, id string")
+    want = make([("same", 0, 10, "a"), ("late", 0, 10, "a"), ("late", 1, 4, "b"), ("new", 0, 3, "n"), ("short", 0, 10, "a"), ("long", 0, 10, "a"), ("long", 1, 10, "b")])
+    have = make([("same", 0, 10, "a"), ("late", 0, 10, "a"), ("late", 1, 4, "x"), ("old", 0, 3, "n"), ("short", 0, 10, "a"), ("short", 1, 5, "z"), ("long", 0, 10, "a")])
+    assert got(chunks.rewrites(want, have, ["file"])) == [("late", "rewrite", 10, 4), ("long", "rewrite", 10, 10), ("new", "write", 0, 3), ("old", "delete", 0, 0), ("short", "truncate", 10, 0)]
+    a = spark.createDataFrame([("x", 1, 1, 1), ("y", 1, 1, None), ("z", 1, 1, 1)], "path string, size int, mtime_ns int, ctime_ns int")
+    b = spark.createDataFrame([("x", 1, 1, 1), ("y", 1, 1, 2), ("q", 1, 1, 1)], "path string, size int, mtime_ns int, ctime_ns int")
+    assert got(chunks.unsteady(a, b, ["path"])) == [("y", "changed"), ("z", "gone")]

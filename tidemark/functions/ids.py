@@ -36,3 +36,11 @@ def packed_hex(c: Column) -> Column:
 def unpacked_hex(c: Column) -> Column:
     body = F.substring(c, 2, 2147483646)
     return F.when(F.substring(c, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(body))).otherwise(F.decode(body, "utf-8"))
+
+
+def entry_name(c: Column) -> Column:
+    """A text as the name of an archive's entry, reversible by percent_decoded: bytes that a path must not hold as `%XX`."""
+    byte = lambda h: F.conv(h, 16, 10).cast("int")
+    plain = lambda h: byte(h).between(33, 126) & ~h.isin(*(f"{b:02X}" for b in b'%/\\:*?"<>|'))
+    parts = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "utf-8")), F.lit("(..)"), F.lit(1)), lambda h: F.when(plain(h), F.chr(byte(h))).otherwise(F.concat(F.lit("%"), h)))
+    return F.array_join(parts, "")

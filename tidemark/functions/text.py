@@ -147,3 +147,8 @@ def known_keys_only(json: Column, keys: list[str]) -> Column:
 def valid_note(key: Column, value: Column) -> Column:
     """A note's key is a short name, its value up to 256 characters without control characters."""
     return F.coalesce(key.rlike(r"^[a-z0-9][a-z0-9_.-]{0,62}$") & (F.length(value) <= 256) & ~value.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
+
+
+def counted(n: Column, one: str, many: str | None = None) -> Column:
+    """`1 file`, `3 files`."""
+    return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many or one + 's'}"))

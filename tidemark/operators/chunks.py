@@ -178,3 +178,36 @@ def last_run_wins(index: DataFrame, key: Sequence[str], run_order: Column) -> Da
     rest = [c for c in index.columns if c not in key]
     best = index.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(run_order.alias("o"), *[c for c in rest if dict(index.dtypes)[c] not in ("variant",)])).alias("b"))
     return best.select(*key, *[F.col("b")[c].alias(c) for c in rest])
+
+
+def unsteady(first: DataFrame, again: DataFrame, key: Sequence[str], stat: Sequence[str] = ("size", "mtime_ns", "ctime_ns")) -> DataFrame:
+    """key, problem of files that changed while they were read: `changed` if a stat differs from the one before the read,
+    `gone` if there is none any more. What came meanwhile is none."""
+    after = again.select(*key, F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in stat])
+    joined = first.join(after, list(key), "left")
+    differs = F.lit(False)
+    for c in stat:
+        differs |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return joined.select(*key, F.when(F.col("_there").isNull(), "gone").when(differs, "changed").alias("problem")).filter("problem IS NOT NULL")
+
+
+def rewrites(wanted: DataFrame, present: DataFrame, file: Sequence[str]) -> DataFrame:
+    """file, action, start, bytes: what brings present files to the wanted contents, told by their chunks.
+
+    wanted, present: file, seq, offset, length, id. A file is rewritten from its first chunk that differs on, cut if it
+    only is too long (`truncate`), written whole if it is not there, deleted if it is not wanted; `bytes` are to be
+    written. Files that hold the wanted chunks need nothing.
+    """
+    have = present.select(*file, "seq", F.col("id").alias("_id"), (F.col("offset") + F.col("length")).alias("_end"))
+    both = wanted.join(have, [*file, "seq"], "full")
+    differs = F.col("id").isNotNull() & ~F.col("id").eqNullSafe(F.col("_id"))
+    grouped = both.groupBy(*file).agg(
+        F.min(F.when(differs, F.col("offset"))).alias("start"),
+        F.max(F.col("offset") + F.col("length")).alias("_size"),
+        F.max("_end").alias("_had"),
+    )
+    action = (
+        F.when(F.col("_size").isNull(), "delete").when(F.col("_had").isNull(), "write").when(F.col("start").isNotNull(), "rewrite").when(F.col("_had") > F.col("_size"), "truncate")
+    )
+    start = F.when(action == "truncate", F.col("_size")).when(action == "delete", F.lit(0)).otherwise(F.col("start"))
+    return grouped.select(*file, action.alias("action"), start.cast("long").alias("start"), F.when(action.isin("write", "rewrite"), F.col("_size") - F.col("start")).otherwise(0).cast("long").alias("bytes")).filter("action IS NOT NULL")

@@ -8,17 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stream_runs(segments: DataFrame, stream: Sequence[str], file: str, start: str, end: str, rotates: str, first_offset: int = 4, tie: Sequence[str] = ()) -> DataFrame:
+def with_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], take: Column, bucket: Column | None = None) -> DataFrame:
+    """Rows with `_before`: `take` of the row before in the order of `by`, null of the first.
+
+    bucket: an expression that rises with the order. Keys with very many rows are then cut into buckets, each a sort of
+    its own; what a bucket begins with is the last row of the buckets before it, one row a bucket.
+    """
+    if bucket is None:
+        return rows.withColumn("_before", F.lag(take).over(Window.partitionBy(*by).orderBy(*order)))
+    cut = rows.withColumn("_bucket", bucket)
+    edges = cut.groupBy(*by, "_bucket").agg(F.max_by(take, F.struct(*order)).alias("_last"))
+    edges = edges.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket"))).drop("_last")
+    w = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    within = cut.withColumns({"_place": F.row_number().over(w), "_within": F.lag(take).over(w)})
+    edges = edges.select(*[F.col(b).alias(f"_e{i}") for i, b in enumerate(by)], F.col("_bucket").alias("_eb"), "_carry")
+    on = [F.col(b).eqNullSafe(F.col(f"_e{i}")) for i, b in enumerate(by)] + [F.col("_bucket").eqNullSafe(F.col("_eb"))]
+    joined = within.join(edges, on).withColumn("_before", F.when(F.col("_place") == 1, F.col("_carry")).otherwise(F.col("_within")))
+    return joined.select(*rows.columns, "_before")
+
+
+def running_sum(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, bucket: Column | None = None) -> DataFrame:
+    """Rows with the sum of a value up to and with each, in the order of `by`; in buckets as in with_before."""
+    if bucket is None:
+        return rows.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = rows.withColumns({"_bucket": bucket, "_value": value})
+    sums = cut.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
+    up = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(b).alias(f"_e{i}") for i, b in enumerate(by)], F.col("_bucket").alias("_eb"), F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_carry"))
+    on = [F.col(b).eqNullSafe(F.col(f"_e{i}")) for i, b in enumerate(by)] + [F.col("_bucket").eqNullSafe(F.col("_eb"))]
+    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("_within", F.sum("_value").over(w)).join(sums, on).withColumn(name, F.col("_carry") + F.col("_within")).select(*rows.columns, name)
+
+
+def stream_runs(segments: DataFrame, stream: Sequence[str], file: str, start: str, end: str, rotates: str, first_offset: int = 4, tie: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """Segments with `run`, from 1, and `gap`: whether the segment does not follow on from the one before it.
 
     It follows if it starts where the one before ended in the same file, or at the first offset of the next file after
     one that rotates. Segments go by (file, start, end); those that repeat the end of the one before follow on too.
+    bucket: as in with_before, such as blocks of files, for streams of very many segments.
     """
-    w = Window.partitionBy(*stream).orderBy(file, start, end, *tie)
-    before = F.lag(F.struct(F.col(file).alias("f"), F.col(end).alias("e"), F.col(rotates).alias("r"))).over(w)
+    order = [file, start, end, *tie]
+    rows = with_before(segments, stream, order, F.struct(F.col(file).alias("f"), F.col(end).alias("e"), F.col(rotates).alias("r")), bucket)
+    before = F.col("_before")
     follows = ((before["f"] == F.col(file)) & (before["e"] == F.col(start))) | (F.coalesce(before["r"], F.lit(False)) & (before["f"] + 1 == F.col(file)) & (F.col(start) == first_offset))
-    marked = segments.withColumn("gap", before.isNotNull() & ~F.coalesce(follows, F.lit(False)))
-    return marked.withColumn("run", 1 + F.sum(F.col("gap").cast("int")).over(w))
+    marked = rows.withColumn("gap", before.isNotNull() & ~F.coalesce(follows, F.lit(False))).drop("_before")
+    return running_sum(marked, stream, order, F.col("gap").cast("int"), "run", bucket).withColumn("run", 1 + F.col("run"))
 
 
 def first_gap(segments: DataFrame, stream: Sequence[str], file: str, start: str, end: str, rotates: str, at_file: int, at: int, first_offset: int = 4) -> DataFrame:
@@ -93,11 +127,14 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, ri
     return found.select(*[F.col("_row")[c].alias(c) for c in names], *[kept[c].alias(c) for c in take])
 
 
-def transactions(events: DataFrame, log: Sequence[str], order: Sequence[str], closes: Column) -> DataFrame:
-    """Events with `tx`, from 1: a closing event ends its transaction, the next event starts another."""
-    w = Window.partitionBy(*log).orderBy(*order)
-    closed = F.lag(F.coalesce(closes, F.lit(False)).cast("int"), 1, 0).over(w)
-    return events.withColumn("_closed", closed).withColumn("tx", 1 + F.sum("_closed").over(w)).drop("_closed")
+def transactions(events: DataFrame, log: Sequence[str], order: Sequence[str], closes: Column, bucket: Column | None = None) -> DataFrame:
+    """Events with `tx`, from 1: a closing event ends its transaction, the next event starts another.
+
+    bucket: as in with_before, such as hours, for logs of very many events.
+    """
+    closing = F.coalesce(closes, F.lit(False)).cast("int")
+    rows = running_sum(events.withColumn("_closes", closing), log, order, F.col("_closes"), "tx", bucket)
+    return rows.withColumn("tx", 1 + F.col("tx") - F.col("_closes")).drop("_closes")
 
 
 def transaction_times(grouped: DataFrame, log: Sequence[str], commit_at: str, header_at: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import lsn, text
+from tidemark.functions import ids, lsn, text
 from tidemark.functions.ids import hex_id
 from tidemark.operators import chunks, verify
 from tidemark.plans.registry import catalog
@@ -185,12 +185,13 @@ def positions(spark, d):
     return b.select("base_id", lsn.shown(F.col("p")).alias("start_lsn"), lsn.as_decimal(F.col("p")).alias("position"))
 
 
-@query("""SELECT t AS table_name, CASE t WHEN 'a' THEN 720.0 WHEN 'b' THEN 30.0 ELSE 4.0 END AS gb, CASE t WHEN 'a' THEN 42.3 ELSE 0.0 END AS usd FROM (VALUES ('a'), ('b'), ('c')) v(t)""")
+@query("SELECT epoch_id, gb, floor(greatest(gb - 5, 0) * 0.09 * 100 + 0.5) / 100 AS usd FROM (SELECT epoch_id, CAST(count(DISTINCT run_id) AS DOUBLE) * sum(bytes) / 1e9 AS gb FROM (SELECT DISTINCT epoch_id, id, bytes, run_id FROM packs WHERE bytes IS NOT NULL) GROUP BY 1)")
 def egress_price(spark, d):
-    """What schedules move out of a provider in a month."""
-    rows = spark.createDataFrame([("a", 10**9, 720), ("b", 10**9, 30), ("c", 10**9, 4)], "table_name string, bytes long, runs long")
-    gb, usd = text.egress(F.col("bytes"), F.col("runs"), 250.0, 0.09)
-    return rows.select("table_name", gb.alias("gb"), usd.alias("usd"))
+    """The size of each epoch's packs, and what reading it at each run moves out of a provider and costs."""
+    packs = t(spark, d, "packs").filter("bytes IS NOT NULL").select("epoch_id", "id", "bytes", "run_id").distinct()
+    sizes = packs.groupBy("epoch_id").agg(F.sum("bytes").alias("bytes"), F.count_distinct("run_id").cast("double").alias("runs"))
+    gb, usd = text.egress(F.col("bytes"), F.col("runs"), 5.0, 0.09)
+    return sizes.select("epoch_id", gb.alias("gb"), usd.alias("usd"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '1h' WHEN event_id % 3 = 1 THEN '5m' ELSE '1h0m5s' END AS short, CAST(ceil(event_id / 1000.0) AS BIGINT) AS ms FROM events")
@@ -297,3 +298,46 @@ def sqlpass_rollup(spark, d):
 def row_predicate(spark, d):
     """Rows of one table by a user's predicate; none is an error."""
     return sqlpass.matching(t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_mktsegment = 'BUILDING' AND c_custkey < 500").select("c_custkey", "c_name")
+
+
+_ENTRY = """array_to_string(list_transform(regexp_extract_all(hex(encode(path)), '..'), lambda h: CASE WHEN CAST('0x' || h AS INTEGER) BETWEEN 33 AND 126 AND h NOT IN ('25', '2F', '5C', '3A', '2A', '3F', '22', '3C', '3E', '7C') THEN chr(CAST('0x' || h AS INTEGER)) ELSE '%' || h END), '')"""
+
+
+@query(f"SELECT path, {_ENTRY} AS name, path AS back FROM (SELECT DISTINCT path FROM files WHERE path IS NOT NULL)")
+def entry_names(spark, d):
+    """Names of archive entries, and back."""
+    rows = t(spark, d, "files").select("path").filter("path IS NOT NULL").distinct().withColumn("name", ids.entry_name(F.col("path")))
+    return rows.withColumn("back", ids.percent_decoded(F.col("name")))
+
+
+@query("SELECT surface_id, count(DISTINCT epoch_id) || CASE WHEN count(DISTINCT epoch_id) = 1 THEN ' epoch' ELSE ' epochs' END || ', ' || count(DISTINCT reason) || CASE WHEN count(DISTINCT reason) = 1 THEN ' entry' ELSE ' entries' END AS words FROM epochs GROUP BY 1")
+def counts_in_words(spark, d):
+    """Counts with their nouns."""
+    grouped = t(spark, d, "epochs").groupBy("surface_id").agg(F.count_distinct("epoch_id").alias("e"), F.count_distinct("reason").alias("r"))
+    return grouped.select("surface_id", F.concat(text.counted(F.col("e"), "epoch"), F.lit(", "), text.counted(F.col("r"), "entry", "entries")).alias("words"))
+
+
+@query("SELECT epoch_id, path, CASE WHEN ino % 5 = 0 THEN 'gone' ELSE 'changed' END AS problem FROM (SELECT epoch_id, path, max(ino) AS ino, max(size) AS size FROM files GROUP BY 1, 2) WHERE ino % 5 = 0 OR (ino % 7 = 0 AND size IS NOT NULL)")
+def unsteady_files(spark, d):
+    """Files that changed or went while they were read."""
+    f = t(spark, d, "files").groupBy("epoch_id", "path").agg(*[F.max(c).alias(c) for c in ("ino", "size", "mtime_ns", "ctime_ns")])
+    again = f.filter("ino % 5 <> 0").withColumn("size", F.when(F.col("ino") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return chunks.unsteady(f, again, ["epoch_id", "path"])
+
+
+@query(f"""WITH {_CHUNKS}, f AS (SELECT event_id, max(seq) AS last, sum(length(piece)) AS size FROM c GROUP BY 1)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'write' WHEN 1 THEN 'delete' WHEN 2 THEN 'rewrite' WHEN 3 THEN 'truncate' END AS action, CAST(CASE event_id % 5 WHEN 2 THEN 16 WHEN 3 THEN size - length(piece) ELSE 0 END AS BIGINT) AS start, CAST(CASE event_id % 5 WHEN 0 THEN size WHEN 2 THEN size - 16 ELSE 0 END AS BIGINT) AS bytes
+FROM f JOIN (SELECT event_id, seq, piece FROM c) p USING (event_id) WHERE seq = last AND event_id % 5 < 4""")
+def files_rewritten(spark, d):
+    """What brings files that are there to the wanted contents, from the first chunk that differs on."""
+    refs, n = _refs(spark, d), F.col("event_id") % 5
+    last = F.max("seq").over(Window.partitionBy("event_id"))
+    wanted = refs.withColumn("last", last).filter((n != 1) & ((n != 3) | (F.col("seq") < F.col("last"))))
+    present = refs.filter(n != 0).withColumn("id", F.when((n == 2) & (F.col("seq") == 1), "other").otherwise(F.col("id")))
+    return chunks.rewrites(wanted, present, ["event_id"])
+
+
+@query("SELECT 'nation' AS table_name, count(*) AS rows, CAST(count(n_nationkey) + count(n_name) + count(n_regionkey) AS BIGINT) AS cells FROM nation UNION ALL SELECT 'documents', count(*), CAST(count(doc_id) + count(text) + count(lang) + count(source) + count(n_chars) + count(surface_id) + count(created_at) + count(received_at) AS BIGINT) FROM documents")
+def every_row_read(spark, d):
+    """V4: every row and column of tables is read."""
+    return verify.read_every_row({n: t(spark, d, n) for n in ("nation", "documents")})

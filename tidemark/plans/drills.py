@@ -209,3 +209,15 @@ def trailer_against_index(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
     trailer, index = o.unionByName(o.filter("o_orderkey % 6 = 0")), o.unionByName(o.filter("o_orderkey % 10 = 0"))
     return delta.exact_difference(trailer, index).groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_custkey").alias("customers"))
+
+
+@query("""SELECT n_nationkey, problem FROM (SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'c' || n_nationkey || ': either sql or command' WHEN 2 THEN 'c' || n_nationkey || ': sql without an expectation' WHEN 3 THEN 'c' || n_nationkey || ': unknown variable other' WHEN 4 THEN 'a check has no name' ELSE 'c' || n_nationkey || ': a command with an expectation' END AS problem FROM nation) WHERE problem IS NOT NULL UNION ALL SELECT n_nationkey, 'c' || n_nationkey || ': a command with an expectation' FROM nation WHERE n_nationkey % 6 = 1""")
+def checks_validated(spark, d):
+    """users' checks that cannot be run; a list of checks is written by hand, so it is looked at on the driver."""
+    def check(n):
+        whole = {"name": f"c{n}", "sql": "SELECT 1", "expect": "> 0"}
+        broken = ({}, {"command": "x"}, {"expect": ""}, {"sql": "SELECT '{{ other }}'"}, {"name": " "}, {"sql": "", "command": "x"})
+        return whole | broken[n % 6]
+
+    keys = sorted(r[0] for r in t(spark, d, "nation").select("n_nationkey").collect())
+    return spark.createDataFrame([(n, p) for n in keys for p in catalogs.validate_checks([check(n)])], "n_nationkey int, problem string")

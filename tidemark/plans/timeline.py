@@ -240,7 +240,7 @@ m AS (SELECT *, bf IS NOT NULL AND NOT ((bf = file AND be = s) OR (br AND bf + 1
 SELECT user_id, n, gap, 1 + sum(CAST(gap AS INTEGER)) OVER (PARTITION BY user_id ORDER BY file, s, e ROWS UNBOUNDED PRECEDING) AS run FROM m""")
 def log_runs(spark, d):
     """Continuous runs of log segments and the gaps between them."""
-    found = logs.stream_runs(_segments(spark, d), ["user_id"], "file", "s", "e", "rotates")
+    found = logs.stream_runs(_segments(spark, d), ["user_id"], "file", "s", "e", "rotates", bucket=F.floor(F.col("file") / 2))
     return found.select("user_id", "n", "gap", F.col("run").cast("long").alias("run"))
 
 
@@ -312,7 +312,7 @@ _TX = "x AS (SELECT *, 1 + coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1
 
 
 def _tx(spark, d):
-    return logs.transactions(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase")
+    return logs.transactions(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", F.date_trunc("day", "ts"))
 
 
 @query(f"WITH {_TX}, a AS (SELECT user_id, tx, count(*) AS events, max(CASE WHEN event_type = 'purchase' THEN ts END) AS c, max(date_trunc('second', ts)) AS h FROM x GROUP BY 1, 2) SELECT user_id, tx, events, coalesce(c, h) AS at, c IS NOT NULL AS exact FROM a")

@@ -17,6 +17,8 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tidemark.sources.binary import page_checksum
+
 #: The first bytes of a binary log, and the types of events that end a transaction or a file.
 BINLOG_MAGIC = b"\xfebin"
 XID, ROTATE, FORMAT, PREVIOUS = 16, 4, 15, 35
@@ -71,15 +73,6 @@ def line_entries(folder: str, offset: dict) -> Iterator[Entry]:
                 yield row, {"log": name, "position": at}, entry.get("txn") is None or bool(entry.get("commit"))
 
 
-def _checksum(data: bytes, big: bool, s: tuple[int, int]) -> tuple[int, int]:
-    s0, s1 = s
-    words = struct.unpack(f"{'>' if big else '<'}{len(data) // 4}I", data)
-    for a, b in zip(words[::2], words[1::2], strict=True):
-        s0 = (s0 + a + s1) & 0xFFFFFFFF
-        s1 = (s1 + b + s0) & 0xFFFFFFFF
-    return s0, s1
-
-
 def page_entries(path: str, offset: dict) -> Iterator[Entry]:
     """Frames of the page log of a database, with the page's number; a frame that commits tells the pages of the database.
 
@@ -99,14 +92,14 @@ def page_entries(path: str, offset: dict) -> Iterator[Entry]:
             raise ValueError("not a page log")
         big = magic == PAGES_MAGIC[1]
         salts = head[16:24]
-        state = _checksum(head[:24], big, (0, 0))
+        state = page_checksum(head[:24], big)
         if state != struct.unpack(">II", head[24:32]):
             return
         log = salts.hex()
         done = offset["position"] if offset.get("log") == log else 0
         number = 0
         while len(frame := f.read(24 + size)) == 24 + size and frame[8:16] == salts:
-            state = _checksum(frame[24:], big, _checksum(frame[:8], big, state))
+            state = page_checksum(frame[24:], big, *page_checksum(frame[:8], big, *state))
             if state != struct.unpack(">II", frame[16:24]):
                 return
             page, pages = struct.unpack(">II", frame[:8])
