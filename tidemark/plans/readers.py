@@ -166,7 +166,7 @@ def stream_resumed(spark, d):
     return spark.read.parquet(out).groupBy("kind").agg(F.count(F.lit(1)).alias("entries"), F.sum("detail").alias("keys"))
 
 
-@query("SELECT a AS low, b AS high, n FROM (SELECT min(c_custkey) AS a, max(c_custkey) AS b, count(*) AS n, k FROM (SELECT c_custkey, (c_custkey - (SELECT min(c_custkey) FROM customer)) * 4 // (SELECT max(c_custkey) - min(c_custkey) + 1 FROM customer) AS k FROM customer) GROUP BY k)")
+@query("SELECT a AS low, b AS high, n FROM (SELECT min(c_custkey) AS a, max(c_custkey) AS b, count(*) AS n, k FROM (SELECT c_custkey, ((c_custkey - (SELECT min(c_custkey) FROM customer) + 1) * 4 - 1) // (SELECT max(c_custkey) - min(c_custkey) + 1 FROM customer) AS k FROM customer) GROUP BY k)")
 def key_ranges(spark, d):
     """The ranges of a key that a table is read in over JDBC, and what each holds."""
     c = t(spark, d, "customer").select("c_custkey")
