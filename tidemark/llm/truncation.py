@@ -16,6 +16,7 @@ as well: it is an ending behind which texts are at a significant length more oft
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -267,14 +268,22 @@ def known_words(documents: DataFrame, text: str, share: float = WORD_SHARE) -> f
 
 def discovered(tested: DataFrame, discovery: float = DISCOVERY) -> DataFrame:
     """Rows whose count n exceeds the expected mu: its Poisson upper tail is at most exp(k - mu - k ln(k / mu)), and the
-    Benjamini-Hochberg step over all rows of LEAST_AT_LENGTH or more keeps the share of false ones at `discovery`."""
+    Benjamini-Hochberg step over all rows of LEAST_AT_LENGTH or more keeps the share of false ones at `discovery`.
+
+    The tested rows are checkpointed; their tails are counted in tenths of a power of ten up to 500, so that at most 5,001
+    counts come to the driver, where the step is taken.
+    """
     k, mu = F.col("n").cast("double"), F.col("mu")
     tail = F.when(k > mu, (k - mu - k * F.log(k / mu)) / F.log(F.lit(10.0))).otherwise(0.0)
-    tested = tested.filter(F.col("n") >= LEAST_AT_LENGTH).withColumn("bucket", F.least(F.floor(-tail * 10), F.lit(5000)).cast("int"))
-    ranks = tested.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    ranks = ranks.withColumn("rank", F.sum("m").over(Window.orderBy(F.col("bucket").desc()))).withColumn("tests", F.sum("m").over(Window.partitionBy(F.lit(0))))
-    least = ranks.filter(-F.col("bucket") / 10 <= F.log10(discovery * F.col("rank") / F.col("tests"))).agg(F.min("bucket").alias("least"))
-    return tested.crossJoin(F.broadcast(least)).filter(F.col("bucket") >= F.col("least")).drop("bucket", "least")
+    tested = checkpointed(tested.filter(F.col("n") >= LEAST_AT_LENGTH).withColumn("bucket", F.least(F.floor(-tail * 10), F.lit(5000)).cast("int")))
+    counts = sorted(tested.groupBy("bucket").count().collect(), reverse=True)
+    tests = sum(n for _, n in counts)
+    rank, least = 0, None
+    for bucket, n in counts:
+        rank += n
+        if -bucket / 10 <= math.log10(discovery * rank / tests):
+            least = bucket
+    return (tested.filter(F.col("bucket") >= least) if least is not None else tested.filter("false")).drop("bucket")
 
 
 def significant_lengths(lengths: DataFrame, near: int = NEIGHBOURS, discovery: float = DISCOVERY) -> DataFrame:
@@ -344,7 +353,6 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
 
     measured = texts.select("source", F.posexplode("lengths").alias("measure", "length"))
     limits = significant_lengths(measured).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
-    limits = checkpointed(limits)
     texts = texts.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at = F.transform("lengths", lambda x, i: F.coalesce(F.array_contains("limits", F.struct(i.alias("measure"), x.alias("length"))), F.lit(False)))
     texts = texts.withColumn("at", at).drop("limits").withColumn("limit", F.array_contains("at", True)).withColumn("before", F.get("at", F.lit(2)) | F.get("at", F.lit(3)))
@@ -358,7 +366,7 @@ def endings(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     inner = inner.select(F.col("u.unit_sources").alias("source"), F.col("u.unit_kinds").alias("kind"), F.col("u.unit_tokens").alias("tokens"), F.lit(0).cast("long").alias("last"), F.col("u.unit_n").alias("inner"))
     last = read.filter("tokens > 0").select("source", "kind", "tokens", F.lit(1).cast("long").alias("last"), F.lit(0).cast("long").alias("inner"))
     units = inner.unionByName(last).groupBy("source", "kind", "tokens").agg(F.sum("last").alias("last"), F.sum("inner").alias("inner"))
-    units = checkpointed(significant_units(units)).select(F.col("source").alias("us"), F.col("kind").alias("uk"), F.col("tokens").alias("ut"), F.lit(True).alias("unit"))
+    units = significant_units(units).select(F.col("source").alias("us"), F.col("kind").alias("uk"), F.col("tokens").alias("ut"), F.lit(True).alias("unit"))
 
     once = texts.select("digest", F.posexplode("keys").alias("slot", "key")).distinct().select("key", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("e"))
     counts = read.filter("keys IS NOT NULL").select(F.explode(F.arrays_zip("keys", "n", "e")).alias("c")).select("c.keys", "c.n", "c.e").toDF("key", "n", "e")
