@@ -328,3 +328,24 @@ def test_rewrites_and_unsteady_files(spark):
     a = spark.createDataFrame([("x", 1, 1, 1), ("y", 1, 1, None), ("z", 1, 1, 1)], "path string, size int, mtime_ns int, ctime_ns int")
     b = spark.createDataFrame([("x", 1, 1, 1), ("y", 1, 1, 2), ("q", 1, 1, 1)], "path string, size int, mtime_ns int, ctime_ns int")
     assert got(chunks.unsteady(a, b, ["path"])) == [("y", "changed"), ("z", "gone")]
+
+
+def test_pack_numbers_are_those_of_a_loop():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 5, 10, 25]) for _ in range(rng.randint(0, 30))]
+        held, number, want = 0, 0, []
+        for size in sizes:
+            if held >= 10:
+                held, number = 0, number + 1
+            held += size
+            want.append(number)
+        found, h, n, at = [], 0, 0, 0
+        while at < len(sizes):  # in batches
+            stop = at + rng.randint(1, 9)
+            out, h, n = chunks._pack_numbers(np.array(sizes[at:stop], np.int64), h, n, 10)
+            found += out.tolist()
+            at = stop
+        assert found == want and (not sizes or (h, n) == (held, number))

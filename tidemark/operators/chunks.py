@@ -126,26 +126,50 @@ def merged_ranges(blobs: DataFrame, pack: Sequence[str], offset: str, length: st
     return runs.groupBy(*pack, "_run").agg(F.min(offset).alias("start"), F.max("_end").alias("end"), F.count(F.lit(1)).alias("blobs")).drop("_run")
 
 
+def _pack_numbers(sizes: np.ndarray, held: int, number: int, target: int) -> tuple[np.ndarray, int, int]:
+    """Pack of each size in order, and what the last one holds and its number: a pack that holds the target is closed by
+    the next size. One search in the running sum a pack."""
+    out = np.empty(len(sizes), np.int64)
+    total = np.cumsum(sizes)
+    start, base = 0, -held
+    while start < len(sizes):
+        if (total[start - 1] if start else 0) - base >= target:
+            number, base = number + 1, int(total[start - 1]) if start else 0
+        stop = min(int(np.searchsorted(total, base + target)) + 1, len(sizes))
+        stop = max(stop, start + 1)
+        out[start:stop] = number
+        start = stop
+    return out, int(total[-1] - base) if len(sizes) else held, number
+
+
 def sequential_packs(blobs: DataFrame, group: Sequence[str], order: Sequence[str], length: str, target: int) -> DataFrame:
-    """Blobs with `pack`, from 0: a pack takes blobs in order and closes once it holds the target.
+    """Blobs with `pack`, from 0: a pack takes blobs in order and closes once it holds the target. A null length is 0.
 
-    A group is one ordered stream, carried through Python batch by batch with one running sum, in constant memory.
+    Which pack a blob is in depends on all blobs before it, so a group is one ordered stream and one task; it passes batch
+    by batch in constant memory, at one search a pack.
     """
     columns = blobs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, number = None, 0, 0
         for batch in batches:
-            tags = list(zip(*[batch.column(g).to_pylist() for g in group], strict=True))
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)
+            for g in group:
+                code = batch.column(g).dictionary_encode()
+                ids = np.asarray(code.indices.fill_null(len(code.dictionary)))
+                fresh[1:] |= ids[1:] != ids[:-1]
+            sizes = np.asarray(batch.column(length).fill_null(0)).astype(np.int64)
             numbers = []
-            for tag, size in zip(tags, batch.column(length).to_pylist(), strict=True):
+            edges = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                tag = tuple(batch.column(g)[a].as_py() for g in group)
                 if tag != now:
                     now, held, number = tag, 0, 0
-                if held >= target:
-                    held, number = 0, number + 1
-                held += size or 0
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*columns, "pack"])
+                found, held, number = _pack_numbers(sizes[a:b], held, number, target)
+                numbers.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(numbers))], names=[*columns, "pack"])
 
     from pyspark.sql import types as T
 
