@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ SLICE_CHARS = 2_500_000
 
 _STOPS = ".!?。؟।"
 #: A stop takes the blank behind it along, so that it can be told from one within a word.
-_TOKEN = re.compile(rf"\w+(?:(?<=[^\W\d_])-\d+\b)?|\n+|[{_STOPS}](?:[^\S\n]|$)?|[^\w\s]")
+_TOKEN = re.compile(rf"\w+(?:-(?<=[^\W\d_]-)\d+\b)?|[^\w\s{_STOPS}]|[{_STOPS}](?:[^\S\n]|$)?|\n+")
 #: What may be a cut's mark: a bracketed group, three dots, or other signs that end no sentence, at the very end.
 _SUFFIX = re.compile(rf"\s*(\[[^\[\]\n]+\]|\([^()\n]+\)|<[^<>\n]+>|\{{[^{{}}\n]+\}}|\.{{3}}|[^\w\s{_STOPS}'\"»”’)\]}}>]+)$")
 _CLOSERS = re.compile(f"(?<=[{_STOPS}])[\"'»”’)\\]]+$")
@@ -85,6 +86,7 @@ class Tokens(dict):
         super().__init__()
         self.known = known
         self.numbers: dict[tuple, int] = {}
+        self.table: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)]
         self.start = self._class("^start", "^start", False, False)
         self.line = self._class("\n", "\n", False, False)
 
@@ -117,8 +119,12 @@ class Tokens(dict):
 
     def columns(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Codes, loose codes, openness and stops of class numbers."""
-        exact, loose, openness, stop = zip(*self.numbers, strict=True)
-        return tuple(np.array(c)[numbers] for c in (np.array(list(map(_code, exact)), np.uint64), np.array(list(map(_code, loose)), np.uint64), openness, stop))
+        if len(self.table[0]) < len(self.numbers):
+            new = list(self.numbers)[len(self.table[0]) :]
+            exact, loose, openness, stop = zip(*new, strict=True)
+            codes = [np.array(list(map(_code, c)), np.uint64) for c in (exact, loose)]
+            self.table = [np.concatenate(pair) for pair in zip(self.table, [*codes, np.array(openness, bool), np.array(stop, bool)], strict=True)]
+        return tuple(c[numbers] for c in self.table)
 
 
 def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
@@ -137,6 +143,14 @@ def contexts(a: np.ndarray, b: np.ndarray, c: np.ndarray, loose: np.ndarray, las
     return [(p, _mixed(11 + i, p, last)) for i, p in enumerate(before)]
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group of each key, and first place and size of each group, by hashing."""
+    back, different = pd.factorize(keys)
+    at = np.empty(len(different), np.int64)
+    at[back[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return back, at, np.bincount(back, minlength=len(different))
+
+
 def _counts(tokens: Tokens, ids: np.ndarray, begins: np.ndarray, sources: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Of texts' class numbers, each behind three starts at `begins`, with one more at the end: counts of keys (key, n, ends); counts
     of units within texts (source, class, tokens, n); and class and tokens of each text's last unit."""
@@ -148,15 +162,15 @@ def _counts(tokens: Tokens, ids: np.ndarray, begins: np.ndarray, sources: np.nda
     real = np.flatnonzero((ids[:-1] != tokens.start) & (following != tokens.start))
     a, b, c, loose, last = (x[y] for x, y in ((e, real - 3), (e, real - 2), (e, real - 1), (w, real - 1), (e, real)))
     # equal stretches of four tokens are counted first; the other keys are counted over the different ones only
-    _, at, back, times = np.unique(_mixed(0, a, b, c, last), return_index=True, return_inverse=True, return_counts=True)
+    back, at, times = _grouped(_mixed(0, a, b, c, last))
     ending = np.bincount(back, weights=done[real], minlength=len(at))
     keys, n, closing = [], [], []
     for pair in contexts(a[at], b[at], c[at], loose[at], last[at]):
         for key in pair:
-            k, back = np.unique(key, return_inverse=True)
-            keys.append(k)
-            n.append(np.bincount(back, weights=times, minlength=len(k)))
-            closing.append(np.bincount(back, weights=ending, minlength=len(k)))
+            back, first, _ = _grouped(key)
+            keys.append(key[first])
+            n.append(np.bincount(back, weights=times, minlength=len(first)))
+            closing.append(np.bincount(back, weights=ending, minlength=len(first)))
     counted = [np.concatenate(keys).view(np.int64), np.concatenate(n).astype(np.int64), np.concatenate(closing).astype(np.int64)]
 
     final = token & (following == tokens.start)
@@ -165,10 +179,9 @@ def _counts(tokens: Tokens, ids: np.ndarray, begins: np.ndarray, sources: np.nda
     long = np.diff(np.cumsum(token)[ends], prepend=0)
     text_of = np.searchsorted(begins, ends, "right") - 1
     inner = ~final[ends]
-    order = np.lexsort((long[inner], kind[inner], sources[text_of[inner]]))
-    cells = np.stack([sources[text_of[inner]], kind[inner], long[inner]])[:, order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(cells) != 0).any(axis=0)])) if cells.shape[1] else np.empty(0, np.int64)
-    units = [*cells[:, first], np.diff(np.append(first, cells.shape[1]))]
+    cells = [sources[text_of[inner]], kind[inner], long[inner]]
+    _, first, times = _grouped(_mixed(6, *(c.view(np.uint64) for c in cells)))
+    units = [*(c[first] for c in cells), times]
     unit_kind, unit_tokens = np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
     unit_kind[text_of[~inner]], unit_tokens[text_of[~inner]] = kind[~inner], long[~inner]
     return counted, units, unit_kind, unit_tokens
