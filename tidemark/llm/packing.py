@@ -4,8 +4,8 @@ Sum-of-squares packing: every item goes to the fill level at which the sum of th
 containers grows least; the counts live in a level array and a container is opened only when none can take the item.
 Fills are exact bytes, levels only rank them, so a container never exceeds its capacity. Items come in falling length.
 While more containers are used than the lengths call for, a few loosely filled ones are emptied and their items come
-once more, to be placed by the same rule; the better of both states holds. There are TURNS such turns for each
-container beyond that bound, at every size of group.
+once more, to be placed by the same rule; the better of both states holds. The number of such turns is bounded in
+proportion to the containers and to those beyond the bound, at every size of group, and a turn takes the same time in all.
 
 Groups of more than SHARD_ITEMS items are cut into shards by a hash, each packed by one task; the items of the
 containers that a shard leaves partly filled are then packed once more, together, in shards of the same size.
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from tidemark.session import checkpointed
 
 LEVELS = 1024
-TURNS = 100
+#: Turns at most for each container beyond the bound and for each container at all, and turns in vain after which it ends.
+TURNS, TURNS_EACH, IN_VAIN = 100, 4, 300
 #: Containers emptied a turn, beside the emptiest one.
 EMPTIED = 3
 SHARD_ITEMS = 200_000
@@ -100,6 +101,19 @@ class Containers:
         self.empty.append(c)
         return items
 
+    def loose(self, order: np.random.Generator) -> list[int]:
+        """The emptiest container and EMPTIED others, loosely filled ones rather than full ones."""
+        level = int((self.count > 0).argmax())
+        chosen = {self.at[level][0][1]} if self.count[level] else set()
+        for _ in range(64):
+            picks = order.integers(0, len(self.fill), 16).tolist()
+            for c, chance in zip(picks, order.random(16).tolist(), strict=True):
+                if self.fill[c] and chance < 1.02 - self.fill[c] / self.capacity:
+                    chosen.add(c)
+                    if len(chosen) > EMPTIED:
+                        return sorted(chosen)
+        return sorted(chosen)
+
     def turn(self, chosen: list[int], order: np.random.Generator, lengths: list[int]) -> bool:
         """Empty the chosen containers and place their items anew; undone unless containers are saved or the fills drift
         apart, which leaves more room in one piece."""
@@ -126,25 +140,28 @@ class Containers:
         return False
 
 
+def least_containers(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound: by the sum of the lengths, and by how many of the longer ones a container holds at most."""
+    found = -(-int(lengths.sum()) // capacity)
+    for k in range(1, 9):
+        found = max(found, -(-int((lengths * (k + 1) > capacity).sum()) // k))
+    return found
+
+
 def sum_of_squares(lengths: np.ndarray, capacity: int, levels: int = LEVELS, turns: int = TURNS) -> np.ndarray:
     """Container of each item, numbered from 0; lengths fall and none exceeds the capacity."""
     packed = Containers(capacity, levels)
     sizes = lengths.tolist()
     for i, size in enumerate(sizes):
         packed.place(i, size)
-    floor = max(-(-sum(sizes) // capacity), int((lengths * 2 > capacity).sum()))
+    floor = least_containers(lengths, capacity)
     used = len(packed.fill)
-    if used > floor:
-        order = np.random.default_rng(0)  # the same turns whenever a task runs again
-        for _ in range(turns * (used - floor)):
-            # the emptiest container and some others, loosely filled ones rather than full ones
-            fills = np.array(packed.fill, float) / capacity
-            chance = np.where(fills > 0, 1.02 - fills, 0.0)
-            some = order.choice(len(fills), size=min(EMPTIED, int((fills > 0).sum())), replace=False, p=chance / chance.sum())
-            least = int(np.where(fills > 0, fills, 2.0).argmin())
-            packed.turn(sorted({least, *some.tolist()}), order, sizes)
-            if len(packed.fill) - len(packed.empty) <= floor:
-                break
+    order = np.random.default_rng(0)  # the same turns whenever a task runs again
+    left, vain = min(turns * (used - floor), TURNS_EACH * used if turns else 0), 0
+    while used > floor and left > 0 and vain < IN_VAIN:
+        packed.turn(packed.loose(order), order, sizes)
+        now = len(packed.fill) - len(packed.empty)
+        left, vain, used = left - 1, 0 if now < used else vain + 1, now
     where = np.empty(len(sizes), np.int64)
     for number, items in enumerate(items for items in packed.items if items):
         where[items] = number
