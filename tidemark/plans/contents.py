@@ -194,10 +194,14 @@ def egress_price(spark, d):
     return sizes.select("epoch_id", gb.alias("gb"), usd.alias("usd"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '1h' WHEN event_id % 3 = 1 THEN '5m' ELSE '1h0m5s' END AS short, CAST(ceil(event_id / 1000.0) AS BIGINT) AS ms FROM events")
+@query("""SELECT event_id, CASE WHEN h > 0 AND m = 0 AND s = 0 THEN h || 'h' WHEN h > 0 AND s = 0 THEN h || 'h' || m || 'm' WHEN h > 0 THEN h || 'h' || m || 'm' || s || 's' WHEN m > 0 AND s = 0 THEN m || 'm' WHEN m > 0 THEN m || 'm' || s || 's' ELSE s || 's' END AS short, CAST((event_id + 999) // 1000 AS BIGINT) AS ms
+FROM (SELECT event_id, event_id * 20 // 3600 AS h, event_id * 20 // 60 % 60 AS m, event_id * 20 % 60 AS s FROM events)""")
 def durations(spark, d):
     """Durations shortened, times rounded up."""
-    long = F.when(F.col("event_id") % 3 == 0, "1h0m0s").when(F.col("event_id") % 3 == 1, "5m0s").otherwise("1h0m5s")
+    n = F.col("event_id") * 20
+    part = lambda c, unit: F.concat(c.cast("long").cast("string"), F.lit(unit))
+    h, m, s = F.floor(n / 3600), F.floor(n / 60) % 60, n % 60
+    long = F.when(h > 0, F.concat(part(h, "h"), part(m, "m"), part(s, "s"))).when(m > 0, F.concat(part(m, "m"), part(s, "s"))).otherwise(part(s, "s"))
     return t(spark, d, "events").select("event_id", text.shortened_duration(long).alias("short"), F.ceil(F.col("event_id") / 1000).alias("ms"))
 
 
@@ -222,11 +226,10 @@ def snapshot_ids(spark, d):
     return t(spark, d, "events").select("event_id", name.alias("id"), F.to_timestamp(F.regexp_extract(name, r"^snap-(\d{8}-\d{6})$", 1), "yyyyMMdd-HHmmss").cast("timestamp_ntz").alias("taken"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '...c' ELSE 'abc' END AS tail FROM part")
+@query("SELECT doc_id, CASE WHEN length(text) <= 60 THEN text WHEN contains(right(text, 60), chr(10)) THEN '...' || substr(right(text, 60), strpos(right(text, 60), chr(10)) + 1) ELSE '...' || right(text, 60) END AS tail FROM documents")
 def tails(spark, d):
     """The last lines of a long text."""
-    value = F.when(F.col("p_partkey") % 3 == 0, "aaaa\nbbbb\nc").otherwise("abc")
-    return t(spark, d, "part").select("p_partkey", text.last_lines(value, 4).alias("tail"))
+    return t(spark, d, "documents").select("doc_id", text.last_lines(F.col("text"), 60).alias("tail"))
 
 
 # Dumps made of the tables: one per region, its nations as a COPY block or as INSERT statements.
