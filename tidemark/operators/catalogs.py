@@ -96,6 +96,20 @@ def stored_damage(assertions: DataFrame, report: Sequence[str], place: str) -> D
     return assertions.filter(bad).groupBy(*report).agg(F.min_by(F.trim(F.coalesce("actual", F.lit(""))), place).alias("damage"))
 
 
+#: The wording of findings about roles.
+FINDINGS = {
+    "super": "connects as {role}, a superuser; a read-only role is enough",
+    "writes": "{role} can write to {n} table(s) ({names}){extra}; a read-only role is enough",
+    "creates": "{role} writes to no table but can {extra}; a read-only role is enough",
+    "hidden": "row-level security hides rows of {n} table(s) ({names}) from {role}",
+}
+
+
+def _worded(kind: str, **parts: Column) -> Column:
+    pieces = re.split(r"\{(\w+)\}", FINDINGS[kind])
+    return F.concat(*[parts[p] if k % 2 else F.lit(p) for k, p in enumerate(pieces)])
+
+
 def role_findings(roles: DataFrame, tables: DataFrame) -> DataFrame:
     """role, kind, message of what a role can do beyond reading (`role`) and of rows it does not see (`row_security`).
 
@@ -103,24 +117,20 @@ def role_findings(roles: DataFrame, tables: DataFrame) -> DataFrame:
     before what it can write, that before what it can create; up to three tables are named. A superuser and a role that
     passes row security by see every row.
     """
-    facts = tables.groupBy("role").agg(
-        F.array_sort(F.collect_set(F.when(F.col("writes"), F.col("table_name")))).alias("writable"),
-        F.array_sort(F.collect_set(F.when(F.col("hidden"), F.col("table_name")))).alias("unseen"),
-    )
+    named = lambda flag: F.array_sort(F.collect_set(F.when(F.col(flag), F.col("table_name"))))
+    facts = tables.groupBy("role").agg(named("writes").alias("writable"), named("hidden").alias("unseen"))
     none = F.array().cast("array<string>")
-    rows = roles.join(facts, "role", "left").withColumns({"writable": F.coalesce("writable", none), "unseen": F.coalesce("unseen", none)})
-    some = lambda c: F.concat(F.array_join(F.slice(c, 1, 3), ", "), F.when(F.size(c) > 3, F.concat(F.lit(" and "), (F.size(c) - 3).cast("string"), F.lit(" more"))).otherwise(""))
+    rows = roles.join(facts, "role", "left").withColumns({c: F.coalesce(c, none) for c in ("writable", "unseen")})
+    more = lambda c: F.when(F.size(c) > 3, F.concat(F.lit(" and "), (F.size(c) - 3).cast("string"), F.lit(" more"))).otherwise("")
+    listed = lambda c: {"role": F.col("role"), "n": F.size(c).cast("string"), "names": F.concat(F.array_join(F.slice(c, 1, 3), ", "), more(c))}
     made = F.array_compact(F.array(F.when(F.col("create_role"), F.lit("create roles")), F.when(F.col("create_db"), F.lit("create databases"))))
     extra = F.array_join(made, " and ")
-    enough = F.lit("; a read-only role is enough")
-    can_write = F.concat(F.col("role"), F.lit(" can write to "), F.size("writable").cast("string"), F.lit(" table(s) ("), some(F.col("writable")), F.lit(")"), F.when(F.size(made) > 0, F.concat(F.lit(" and "), extra)).otherwise(""), enough)
     message = (
-        F.when(F.col("super"), F.concat(F.lit("connects as "), F.col("role"), F.lit(", a superuser"), enough))
-        .when(F.size("writable") > 0, can_write)
-        .when(F.size(made) > 0, F.concat(F.col("role"), F.lit(" writes to no table but can "), extra, enough))
+        F.when(F.col("super"), _worded("super", role=F.col("role")))
+        .when(F.size("writable") > 0, _worded("writes", **listed("writable"), extra=F.when(F.size(made) > 0, F.concat(F.lit(" and "), extra)).otherwise("")))
+        .when(F.size(made) > 0, _worded("creates", role=F.col("role"), extra=extra))
     )
-    unseen = F.concat(F.lit("row-level security hides rows of "), F.size("unseen").cast("string"), F.lit(" table(s) ("), some(F.col("unseen")), F.lit(") from "), F.col("role"))
-    hidden = F.when((F.size("unseen") > 0) & ~F.col("super") & ~F.col("bypass"), unseen)
+    hidden = F.when((F.size("unseen") > 0) & ~F.col("super") & ~F.col("bypass"), _worded("hidden", **listed("unseen")))
     found = F.array(F.struct(F.lit("role").alias("kind"), message.alias("message")), F.struct(F.lit("row_security").alias("kind"), hidden.alias("message")))
     return rows.select("role", F.explode(found).alias("f")).select("role", "f.kind", "f.message").filter("message IS NOT NULL")
 
